@@ -12,6 +12,7 @@ which is sharpened step by step.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ WINDOW = 6
 SAMPLE_TOXIC = 1_500
 SAMPLE_CLEAN = 3_000
 #: Words in training: rows after these are left out.
-SAMPLE_WORDS = 3_000_000
+SAMPLE_WORDS = 2_000_000
 STEPS = 120
 RATE = 80.0
 #: The toxic class's share in the loss, whatever its share of the rows.
@@ -112,19 +113,22 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM,
         return Model(np.full(BUCKETS, np.nan), 4.0 if labels and labels[0] else -4.0)
     y = np.array(labels, float)
     flat, sizes = np.concatenate(ids), np.array(lengths)
-    grams = [subwords(w) for w in vocabulary]
-    counts = np.array(list(map(len, grams)))
-    parts = np.concatenate([np.array(g, np.int32) for g in grams])
-    owner = np.repeat(np.arange(len(grams)), counts)
-    first, sizes_of = np.cumsum(counts) - counts, counts
-    del grams, ids
+    grams, each_word = array("i"), array("i")
+    for w in vocabulary:
+        own = subwords(w)
+        grams.extend(own)
+        each_word.append(len(own))
+    parts, sizes_of = np.frombuffer(grams, np.int32), np.frombuffer(each_word, np.int32)
+    owner = np.repeat(np.arange(len(sizes_of), dtype=np.int32), sizes_of)
+    first = np.cumsum(sizes_of) - sizes_of
+    del ids, vocabulary
     # Windows: every place of a document where a whole window fits (one if it is shorter).
     base = np.cumsum(sizes) - sizes
     width = np.minimum(sizes, WINDOW)
     per = sizes - width + 1
-    doc = np.repeat(np.arange(len(y)), per)
-    start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + base[doc]
-    end = start + width[doc]
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), per)
+    start = (np.arange(per.sum()) + np.repeat(base - np.cumsum(per) + per, per)).astype(np.int32)
+    end = start + np.repeat(width.astype(np.int32), per)
     head = np.cumsum(per) - per
 
     E = (rng.random((BUCKETS, dim), np.float32) * 2 - 1) / np.float32(dim)
@@ -136,26 +140,26 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM,
     for step in range(steps):
         sharp = 0.5 + 3.5 * min(1.0, step / (0.6 * steps))
         u = W[1] - W[0]
-        s = E @ u
-        kept = rng.random(len(parts)) < KEEP  # some n-grams sit a step out, so that the others learn the word too
+        s = E @ u.astype(np.float32)
+        kept = rng.random(len(parts), np.float32) < KEEP  # some n-grams sit a step out, so that the others learn the word too
         kept[first + rng.integers(0, sizes_of)] = True
-        counts = np.add.reduceat(kept.astype(float), first)
-        word = np.add.reduceat(s[parts] * kept, first) / counts
+        counts = np.add.reduceat(kept.astype(np.int32), first)
+        word = np.add.reduceat(np.where(kept, s[parts], np.float32(0)), first) / counts
         sums = np.concatenate(([0.0], np.cumsum(word[flat])))
-        z = (sums[end] - sums[start]) / WINDOW + (bias[1] - bias[0])
+        z = ((sums[end] - sums[start]) / WINDOW + (bias[1] - bias[0])).astype(np.float32)
         top = np.maximum.reduceat(z, head)
-        share = np.exp(sharp * (z - top[doc]))
+        share = np.exp(np.float32(sharp) * (z - top[doc]))
         share /= np.add.reduceat(share, head)[doc]
         odds = np.add.reduceat(share * z, head)
         p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
         g = weight * (p - y)
-        each = share * g[doc] / WINDOW
+        each = share * (g / WINDOW)[doc]
         edge = np.zeros(len(flat) + 1)
-        np.add.at(edge, start, each)
-        np.subtract.at(edge, end, each)
+        edge[start] = each  # no two windows start or end at the same place
+        edge[end] -= each
         at_word = np.bincount(flat, np.cumsum(edge[:-1]), len(word)) / counts
-        a = np.bincount(parts, at_word[owner] * kept, BUCKETS)
-        gu = E.T @ a
+        a = np.bincount(parts, np.where(kept, at_word[owner], 0), BUCKETS)
+        gu = (E.T @ a.astype(np.float32)).astype(float)
         vE *= momentum
         vE -= np.clip(rate * a, -CLIP, CLIP).astype(np.float32)[:, None] * u.astype(np.float32)[None, :]
         vW = momentum * vW - 0.02 * rate * (np.stack((-gu, gu)) + 1e-3 * W)
@@ -220,7 +224,7 @@ def _score(share):
 def score(docs: DataFrame, model: Model, key=None, text_col: str = "text") -> DataFrame:
     """key, score for every row. key: a column or struct to carry along (doc_id unless given)."""
     own = docs.select((F.col("doc_id").cast("bigint") if key is None else key).alias("key"), as_bytes(text_col).alias("text"))
-    share = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the input
+    share = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the input
     return own.mapInArrow(_score(share), f"key {own.schema['key'].dataType.simpleString()}, score double")
 
 
