@@ -200,12 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     that are null, and labels of no document, are passed over.
     """
     known = labels.select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("label")).where("__id is not null and label is not null")
-    known = docs.select("doc_id", "text").where("text is not null").join(known, F.col("doc_id") == F.col("__id"))
+    known = known.join(docs.select(F.col("doc_id").alias("__id")).where("__id is not null"), "__id", "left_semi")  # ids only: no text is shuffled
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
+    place = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_000)) / 1e6
     clean, toxic = (min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((0, sample_clean), (1, sample_toxic)))
-    rows = known.where(place < F.when(F.col("label") == 1, F.lit(toxic)).otherwise(F.lit(clean)))
-    rows = rows.select(as_bytes("text").alias("text"), "label", "doc_id").limit(2 * (sample_clean + sample_toxic)).collect()
+    chosen = known.where(place < F.when(F.col("label") == 1, F.lit(toxic)).otherwise(F.lit(clean))).limit(2 * (sample_clean + sample_toxic))
+    rows = docs.select("doc_id", as_bytes("text").alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # a bounded number of ids
+    rows = rows.select("text", "label", "doc_id").limit(2 * (sample_clean + sample_toxic)).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[2]).encode()), bytes(r[0])))  # the same model whatever order the rows came in
     return train([(bytes(r[0]), r[1]) for r in rows])
 
