@@ -3,16 +3,22 @@
 White space of ASCII never lies within a token and never changes its
 neighbours (the tokenizer's own splitting drops it), so a text's ids are the
 ids of its white-space-free pieces in a row. Pieces repeat, so their ids are
-kept in a bounded dictionary per Python worker.
+kept in bounded dictionaries per Python worker. The tokenizer lower-cases, so
+ASCII letters are lower-cased first (unless a special token's opening is near),
+and it parts letters from what is none, so full stops and commas after a
+letter are looked up by themselves.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Iterable
 
-#: Pieces whose ids a worker keeps; the dictionary is emptied when it is full.
-CACHE_PIECES = 600_000
+import numpy as np
+
+#: Pieces in one generation of a worker's dictionary. When it is full it
+#: becomes the old one, from which pieces still in use are taken over.
+CACHE_PIECES = 500_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -25,32 +31,93 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, if it can
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cache_pieces = cache_pieces
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        """Put the ids of pieces that the dictionary lacks into it."""
-        import numpy as np
-
-        missing = list(set(pieces).difference(self.cache))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            texts = [x.decode("utf-8", "replace") for x in part]
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for piece, found in zip(part, encode(texts, add_special_tokens=False)):
-                self.cache[piece] = np.array(found.ids, dtype="<u4").tobytes()
+    def _plain(self, pieces: list[bytes], texts: list[str]) -> bool:
+        """Pieces of lower-case letters are a word each: encode them as one text and cut at word ends."""
+        ids = np.array(self._batch([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(pieces) or len(ids) * 4 != stops[-1]:
+            return False
+        raw, at = ids.tobytes(), 0
+        for piece, stop in zip(pieces, stops.tolist()):
+            self.new[piece] = raw[at:stop]
+            at = stop
+        return True
+
+    def _encode(self, pieces: list[bytes]) -> None:
+        for first in range(0, len(pieces), 20_000):
+            texts = {p: p.decode("utf-8", "replace") for p in pieces[first : first + 20_000]}
+            plain = [p for p, t in texts.items() if t.isalpha() and t == t.lower()]
+            if not plain or not self._plain(plain, [texts[p] for p in plain]):
+                plain = []
+            rest = list(texts.keys() - set(plain))
+            if rest:
+                for piece, found in zip(rest, self._batch([texts[p] for p in rest], add_special_tokens=False)):
+                    self.new[piece] = np.array(found.ids, "<u4").tobytes()
+
+    def learn(self, pool: set[bytes]) -> None:
+        """Put the ids of all pieces in the pool into the new dictionary."""
+        if len(self.new) > self.cache_pieces:
+            self.old, self.new = self.new, {}
+        missing: set[bytes] = set()
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        take = self.old.get
+        for piece in pool.difference(self.new):
+            known = take(piece)
+            if known is not None:
+                self.new[piece] = known
+                continue
+            core = piece.rstrip(b".,")
+            if core != piece and core[-1:].isalpha():  # an ASCII letter, then stops and commas
+                joined.append((piece, core, piece[len(core) :]))
+            else:
+                missing.add(piece)
+        for part in {p for _, core, tail in joined for p in (core, tail)} - missing:
+            if part not in self.new:
+                known = take(part)
+                if known is None:
+                    missing.add(part)
+                else:
+                    self.new[part] = known
+        self._encode(list(missing))
+        for piece, core, tail in joined:
+            self.new[piece] = self.new[core] + self.new[tail]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids, four bytes an id; null is an empty text."""
-        split = [(t or b"").split() for t in texts]
-        if len(self.cache) > self.cache_pieces:
-            self.cache.clear()
-        pool: set[bytes] = set()
-        for words in split:
-            pool.update(words)
-        self.learn(pool)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        collecting = gc.isenabled()
+        gc.disable()  # millions of objects and no cycles: the collector would walk them again and again
+        try:
+            return self._encode_texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_texts(self, texts: list[bytes | None]) -> list[bytes]:
+        out: list = []
+        gaps: list[tuple[int, list[tuple[int, bytes]]]] = []
+        get = self.new.get
+        for text in texts:  # text by text: its pieces are looked up while they are still in the processor's cache
+            words = (text if b"<|" in text else text.lower()).split() if text else []
+            ids = list(map(get, words))
+            if None in ids:
+                gaps.append((len(out), [(i, words[i]) for i, x in enumerate(ids) if x is None]))
+                out.append(ids)
+            else:
+                out.append(b"".join(ids))
+        self.learn({piece for _, own in gaps for _, piece in own})
+        for k, own in gaps:
+            for i, piece in own:
+                out[k][i] = self.new[piece]
+            out[k] = b"".join(out[k])
+        return out
 
 
 def encoder(path: str) -> Encoder:
