@@ -113,7 +113,7 @@ def calc_corr(x: DataFrame, y: DataFrame, *, x_var: str | None = None, y_var: st
             both = both.withColumn(f"{c}r", avg_rank(F.col(c), order, ties))
         both = both.withColumns({"__x": F.col("__xr"), "__y": F.col("__yr")})
     stats = both.groupBy(*keys).agg(safe_corr(F.col("__x"), F.col("__y")).alias("r"), F.count(F.lit(1)).alias("n"))
-    r, n = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))), F.col("n")
+    r, n = F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))), F.col("n")
     t = F.try_divide(r * F.sqrt(n - 2.0), F.sqrt(1 - r * r))
     certain = F.abs(r) >= 1 - 1e-15
     p = F.when(n == 2, F.lit(1.0 if corr_type == "pearson" else None).cast("double")).when(certain, F.lit(0.0)).otherwise(t_p(t, n - 2.0))
