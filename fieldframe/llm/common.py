@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +56,21 @@ def drop_stash(df: DataFrame) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Most rows in an Arrow batch of texts (Spark's own default is 10,000).
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small on both sides of the worker's pipe.
+
+    Texts differ in length by orders of magnitude; ten thousand rows of them
+    are too much at once. A smaller setting of the session's own stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def as_bytes(column: str):
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")
@@ -63,6 +81,24 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+_holder: tuple[str, object] | None = None
+
+
+def sole(owner: str, release) -> None:
+    """Give a worker's large memory to one owner: what another held is let go first.
+
+    Spark uses Python workers again for later stages, and a dictionary that
+    an operator keeps from task to task would stay beside the next one's.
+    """
+    global _holder
+    if _holder is not None and _holder[0] != owner:
+        _holder[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give it back to the system where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+    _holder = (owner, release)
+
+
 def records(columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 

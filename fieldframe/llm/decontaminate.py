@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, records
+from .common import as_bytes, blocks, bound_batches, records, sole
 
 WINDOW = 8
 #: Windows in one broadcast (about 100 bytes each in a worker).
@@ -100,6 +100,7 @@ _ZEROS = _Zeros()
 def _scan(share, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = share.value
+        sole("decontaminate", int)
         for whole in batches:
             for batch in blocks(whole, "text"):
                 hits, found = [], []
@@ -122,6 +123,7 @@ def _scan(share, first: bool):
 def _search(docs: DataFrame, benchmark: DataFrame, max_windows: int, window: int) -> DataFrame:
     """doc_id (of any type), text (bytes), hits (numbers of hit words), items (sorted ids)."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes("text").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # a word has a byte and a gap at least
     parts = max(1, -(-(size // 2) // max_windows))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, records
+from .common import as_bytes, blocks, records, sole
 
 # Elements of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,6 +173,7 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
 
 def _run(sigma: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("html", int)
         for whole in batches:
             for batch in blocks(whole, "html"):
                 texts = [extract(None if h is None else h.decode("utf-8", "replace"), sigma, threshold) for h in batch.column("html").to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, crc_mod, records
+from .common import as_bytes, blocks, bound_batches, crc_mod, records, sole
 
 #: The model is fitted on at most so many labelled rows (chosen by a hash of
 #: the id, in equal parts a language); it keeps the most frequent words and
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def _predict(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
+        sole("langid", model.cache.clear)
         for whole in batches:
             for batch in blocks(whole, "text"):
                 found = [model.predict(None if t is None else t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
@@ -146,6 +147,7 @@ def identify(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
     rows. An empty table gives no rows. Other columns are not read.
     """
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), as_bytes("text").alias("text"))
     share = docs.sparkSession.sparkContext.broadcast(model)
     return own.mapInArrow(_predict(share), "doc_id bigint, held_out boolean, lang_pred string, score double")

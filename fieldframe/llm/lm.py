@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, stash
+from .common import as_bytes, crc_mod, sole, stash
 
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
@@ -113,6 +113,7 @@ def _unsqueeze(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
 
 
 def _chunk_of(table: pa.Table) -> Chunk:
+    sole("lm", int)
     return Chunk(table.column("text").to_pylist(), table.column("learn").to_pylist())
 
 

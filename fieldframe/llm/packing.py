@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, records, stash
+from .common import as_bytes, blocks, bound_batches, records, stash
 from .wordcodes import default_tokenizer, encoder
 
 MAX_TOKENS = 2048
@@ -34,7 +34,7 @@ def _pieces(tokenizer: str, end_id: int, max_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for whole in batches:
-            for batch in blocks(whole, "text"):
+            for batch in blocks(whole, "text", 2 << 20):
                 out: list[tuple] = []
                 for doc, found in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
                     ids = found + tail
@@ -51,6 +51,7 @@ def _pieces(tokenizer: str, end_id: int, max_tokens: int):
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; only documents over max_tokens are cut."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(
         _pieces(tokenizer or default_tokenizer(), end_id, max_tokens), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     )

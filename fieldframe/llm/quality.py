@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, records
+from .common import as_bytes, blocks, bound_batches, records, sole
 
 #: n-gram length in words: largest share (percent) of word characters inside repeated n-grams.
 COVERAGE = {5: 20, 7: 16, 10: 12}
@@ -105,6 +105,7 @@ def _run(lengths: tuple[int, ...]):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in lengths)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("quality", int)
         for whole in batches:
             for batch in blocks(whole, "text"):
                 cols = list(zip(*(measure(t, lengths) for t in batch.column("text").to_pylist()))) or [()] * len(names)
@@ -125,6 +126,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     if any(n < 5 for n in lengths):
         raise ValueError("n-grams of at least five words")
     key = F.col(id_col) if key is None else key
+    bound_batches(docs.sparkSession)
     own = docs.select(key.alias("key"), as_bytes(text_col).alias("text"))
     kind = own.schema["key"].dataType.simpleString()
     fields = ", ".join(f"{n} bigint" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in lengths)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, records, stash
+from .common import as_bytes, blocks, bound_batches, records, sole, stash
 from .components import components
 
 SHINGLE = 4
@@ -65,6 +65,7 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.nda
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("simhash", int)
     for whole in batches:
         for batch in blocks(whole, "text", 1 << 20):
             found = fingerprints_of(batch.column("text").to_pylist())
@@ -73,6 +74,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed integer)."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(_fingerprint, "doc_id bigint, fp bigint")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import as_bytes, blocks, records
+from .common import as_bytes, blocks, bound_batches, records
 from .wordcodes import default_tokenizer, encoder
 
 #: Tokens after which a segment ends (at the end of a document).
@@ -51,7 +51,7 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
             return out
 
         for whole in batches:
-            for batch in blocks(whole, "text"):
+            for batch in blocks(whole, "text", 2 << 20):
                 part = batch.column("part")[0].as_py()
                 for doc, found in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
                     docs.append(doc)
@@ -73,6 +73,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     order among themselves. An empty table gives no segment. Other columns
     are ignored.
     """
+    bound_batches(docs.sparkSession)
     order = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), as_bytes(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = order.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, crc_mod, records
+from .common import as_bytes, blocks, bound_batches, crc_mod, records, sole
 
 BUCKETS = 1 << 20
 DIM = 8
@@ -28,10 +28,10 @@ GRAMS = (3, 4, 5, 6)
 WINDOW = 6
 #: The model is fitted on at most so many labelled rows of each class (chosen
 #: by a hash of the id) and so many windows a row in training.
-SAMPLE_TOXIC = 1_500
-SAMPLE_CLEAN = 3_000
+SAMPLE_TOXIC = 1_200
+SAMPLE_CLEAN = 2_400
 #: Words in training: rows after these are left out.
-SAMPLE_WORDS = 2_000_000
+SAMPLE_WORDS = 1_600_000
 STEPS = 120
 RATE = 80.0
 #: The toxic class's share in the loss, whatever its share of the rows.
@@ -158,7 +158,10 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM,
         edge[start] = each  # no two windows start or end at the same place
         edge[end] -= each
         at_word = np.bincount(flat, np.cumsum(edge[:-1]), len(word)) / counts
-        a = np.bincount(parts, np.where(kept, at_word[owner], 0), BUCKETS)
+        a = np.zeros(BUCKETS)
+        for at in range(0, len(parts), 1_000_000):  # in parts, for the memory of what bincount casts
+            some = slice(at, at + 1_000_000)
+            a += np.bincount(parts[some], np.where(kept[some], at_word[owner[some]], 0), BUCKETS)
         gu = (E.T @ a.astype(np.float32)).astype(float)
         vE *= momentum
         vE -= np.clip(rate * a, -CLIP, CLIP).astype(np.float32)[:, None] * u.astype(np.float32)[None, :]
@@ -214,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
 def _score(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
+        sole("toxicity", model.cache.clear)
         for whole in batches:
             for batch in blocks(whole, "text"):
                 scores = [model.score(t) for t in batch.column("text").to_pylist()]
@@ -224,6 +228,7 @@ def _score(share):
 
 def score(docs: DataFrame, model: Model, key=None, text_col: str = "text") -> DataFrame:
     """key, score for every row. key: a column or struct to carry along (doc_id unless given)."""
+    bound_batches(docs.sparkSession)
     own = docs.select((F.col("doc_id").cast("bigint") if key is None else key).alias("key"), as_bytes(text_col).alias("text"))
     share = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the input
     return own.mapInArrow(_score(share), f"key {own.schema['key'].dataType.simpleString()}, score double")

@@ -16,9 +16,11 @@ import os
 
 import numpy as np
 
+from .common import sole
+
 #: Pieces in one generation of a worker's dictionary. When it is full it
 #: becomes the old one, from which pieces still in use are taken over.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -121,7 +123,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file, made once."""
+    """The worker's encoder for a tokenizer file, made once and kept until another operator needs the memory."""
+    sole("wordcodes", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
