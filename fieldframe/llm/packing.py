@@ -34,7 +34,7 @@ def _pieces(tokenizer: str, end_id: int, max_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for whole in batches:
-            for batch in blocks(whole, "text", 2 << 20):
+            for batch in blocks(whole, "text", 4 << 20):
                 out: list[tuple] = []
                 for doc, found in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
                     ids = found + tail

@@ -51,7 +51,7 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
             return out
 
         for whole in batches:
-            for batch in blocks(whole, "text", 2 << 20):
+            for batch in blocks(whole, "text", 4 << 20):
                 part = batch.column("part")[0].as_py()
                 for doc, found in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
                     docs.append(doc)

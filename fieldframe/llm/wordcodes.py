@@ -20,7 +20,7 @@ from .common import sole
 
 #: Pieces in one generation of a worker's dictionary. When it is full it
 #: becomes the old one, from which pieces still in use are taken over.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
 
 _encoders: dict[str, "Encoder"] = {}
 
