@@ -5,16 +5,23 @@ neighbours (the tokenizer's own splitting drops it), so a text's ids are the
 ids of its white-space-free pieces in a row. Pieces repeat, so their ids are
 kept in bounded dictionaries per Python worker. The tokenizer lower-cases, so
 ASCII letters are lower-cased first (unless a special token's opening is near),
-and it parts letters from what is none, so full stops and commas after a
-letter are looked up by themselves.
+and it parts letters, digits and signs. Pieces of printable characters below
+U+0250, which its normal form leaves as they are, are parted here by the same
+pattern and go to the tokenizer's BPE model part by part; all others go
+through the whole tokenizer. So do whole texts where a tokenizer file
+normalizes or parts text in another way.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
+import json
 import os
+import struct
 
 import numpy as np
+import regex
 
 from .common import sole
 
@@ -22,6 +29,31 @@ from .common import sole
 #: becomes the old one, from which pieces still in use are taken over.
 CACHE_PIECES = 450_000
 
+# How the tokenizer file that is understood here normalizes and parts texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+PARTS = regex.compile(SPLIT)
+#: Printable characters below U+0250 without the capital dotted I, whose small form is two characters.
+PLAIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+
+
+def _symbols() -> str:
+    """The character by which byte-level models write each byte: itself if visible, else the next from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in visible else next(hidden)) for b in range(256))
+
+
+SYMBOLS = _symbols()
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -34,63 +66,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, if it can
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._model = self.tokenizer.model
+        form = json.loads(self.tokenizer.to_str())
+        self.by_words = (form["normalizer"], form["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and form["model"].get("dropout") is None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.cache_pieces = cache_pieces
 
-    def _plain(self, pieces: list[bytes], texts: list[str]) -> bool:
-        """Pieces of lower-case letters are a word each: encode them as one text and cut at word ends."""
-        ids = np.array(self._batch([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(pieces) or len(ids) * 4 != stops[-1]:
-            return False
-        raw, at = ids.tobytes(), 0
-        for piece, stop in zip(pieces, stops.tolist()):
-            self.new[piece] = raw[at:stop]
-            at = stop
-        return True
+    def _word(self, part: str) -> bytes:
+        """Ids of a run of letters, a digit or a run of signs, by the tokenizer's own model."""
+        symbols = part if part.isascii() else codecs.charmap_decode(part.encode(), "strict", SYMBOLS)[0]
+        ids = [token.id for token in self._model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode(self, pieces: list[bytes]) -> None:
-        for first in range(0, len(pieces), 20_000):
-            texts = {p: p.decode("utf-8", "replace") for p in pieces[first : first + 20_000]}
-            plain = [p for p, t in texts.items() if t.isalpha() and t == t.lower()]
-            if not plain or not self._plain(plain, [texts[p] for p in plain]):
-                plain = []
-            rest = list(texts.keys() - set(plain))
-            if rest:
-                for piece, found in zip(rest, self._batch([texts[p] for p in rest], add_special_tokens=False)):
-                    self.new[piece] = np.array(found.ids, "<u4").tobytes()
+        """Ids of new pieces: plain ones part by part, the others by the whole tokenizer."""
+        new, take, word, plain = self.new, self.old.get, self._word, PLAIN.fullmatch
+        rest: list[tuple[bytes, str]] = []
+        for piece in pieces:
+            text = piece.decode("utf-8", "replace")
+            if not plain(text) or "<|" in text:
+                rest.append((piece, text))
+                continue
+            lower = text.lower()
+            parts = [lower] if lower.isalpha() else PARTS.findall(lower)
+            if len(parts) == 1:
+                new[piece] = word(parts[0])
+                continue
+            found = []
+            for part in parts:
+                key = part.encode()
+                ids = new.get(key) or take(key)
+                if ids is None:
+                    ids = word(part)
+                new[key] = ids
+                found.append(ids)
+            new[piece] = b"".join(found)
+        for first in range(0, len(rest), 20_000):
+            some = rest[first : first + 20_000]
+            for (piece, _), found in zip(some, self._batch([text for _, text in some], add_special_tokens=False)):
+                new[piece] = np.array(found.ids, "<u4").tobytes()
 
     def learn(self, pool: set[bytes]) -> None:
         """Put the ids of all pieces in the pool into the new dictionary."""
         if len(self.new) > self.cache_pieces:
             self.old, self.new = self.new, {}
-        missing: set[bytes] = set()
-        joined: list[tuple[bytes, bytes, bytes]] = []
+        missing: list[bytes] = []
         take = self.old.get
         for piece in pool.difference(self.new):
             known = take(piece)
-            if known is not None:
-                self.new[piece] = known
-                continue
-            core = piece.rstrip(b".,")
-            if core != piece and core[-1:].isalpha():  # an ASCII letter, then stops and commas
-                joined.append((piece, core, piece[len(core) :]))
+            if known is None:
+                missing.append(piece)
             else:
-                missing.add(piece)
-        for part in {p for _, core, tail in joined for p in (core, tail)} - missing:
-            if part not in self.new:
-                known = take(part)
-                if known is None:
-                    missing.add(part)
-                else:
-                    self.new[part] = known
-        self._encode(list(missing))
-        for piece, core, tail in joined:
-            self.new[piece] = self.new[core] + self.new[tail]
+                self.new[piece] = known
+        self._encode(missing)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids, four bytes an id; null is an empty text."""
@@ -103,6 +132,8 @@ class Encoder:
                 gc.enable()
 
     def _encode_texts(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(x.ids, "<u4").tobytes() for x in self._batch([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         out: list = []
         gaps: list[tuple[int, list[tuple[int, bytes]]]] = []
         get = self.new.get
