@@ -27,7 +27,7 @@ from .common import sole
 
 #: Pieces in one generation of a worker's dictionary. When it is full it
 #: becomes the old one, from which pieces still in use are taken over.
-CACHE_PIECES = 450_000
+CACHE_PIECES = 300_000
 
 # How the tokenizer file that is understood here normalizes and parts texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,8 +67,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, if it can
         self._model = self.tokenizer.model
-        form = json.loads(self.tokenizer.to_str())
-        self.by_words = (form["normalizer"], form["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and form["model"].get("dropout") is None
+        form = [json.loads(part.__getstate__()) if part else None for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.by_words = form == [NORMALIZER, PRE_TOKENIZER] and not getattr(self._model, "dropout", None)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.cache_pieces = cache_pieces
