@@ -26,6 +26,9 @@ from .wordcodes import default_tokenizer, encoder
 #: Tokens after which a segment ends (at the end of a document).
 SEGMENT_TOKENS = 1 << 20
 
+#: Pieces in one generation of a worker's dictionary while a store is written.
+CACHE_PIECES = 450_000
+
 STORE_SCHEMA = "part int, segment int, doc_ids array<bigint>, starts array<bigint>, counts array<bigint>, n_tokens bigint, dac binary"
 
 
@@ -33,7 +36,7 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, segment = encoder(tokenizer), None, 0
+        coder, part, segment = encoder(tokenizer, CACHE_PIECES), None, 0
         docs: list[int | None] = []
         ids: list[bytes] = []
         held = 0

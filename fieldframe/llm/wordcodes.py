@@ -153,11 +153,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """The worker's encoder for a tokenizer file, made once and kept until another operator needs the memory."""
     sole("wordcodes", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_pieces = cache_pieces
     return _encoders[path]
 
 
