@@ -70,6 +70,23 @@ def test_special_strings(tokenizer):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("form", ["%s", "a%sb", "%s.", "3%s4", "'%ss x", "A%s,***"])
+def test_every_character_in_context(tokenizer, form):
+    texts = [form.replace("%s", chr(c)) for c in range(1, 0x3000)]
+    found = wordcodes.Encoder(wordcodes.default_tokenizer(), cache_pieces=500).encode([t.encode() for t in texts])
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [x.ids for x in want]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    coder = wordcodes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not coder.by_words
+    found = coder.encode([b"Hello  World\n x", None, b""])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [coder.tokenizer.encode("Hello  World\n x").ids, [], []]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.data())
 def test_dac_round_trip_and_access(ids, data):
