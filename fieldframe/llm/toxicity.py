@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,13 @@ BUCKETS = 1 << 20
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 6
-#: The model is fitted on at most so many labelled rows of each class (chosen
-#: by a hash of the id) and so many windows a row in training.
-SAMPLE_TOXIC = 1_200
-SAMPLE_CLEAN = 2_400
-#: Words in training: rows after these are left out.
-SAMPLE_WORDS = 1_600_000
+#: The model is fitted on about so many labelled rows of each class, chosen
+#: by a hash of the id; all words of these rows are learned from.
+SAMPLE_TOXIC = 1_500
+SAMPLE_CLEAN = 3_000
+#: Windows, and n-grams of words, that a step of training holds at once.
+WINDOWS_AT_ONCE = 250_000
+GRAMS_AT_ONCE = 1_000_000
 STEPS = 120
 RATE = 80.0
 #: The toxic class's share in the loss, whatever its share of the rows.
@@ -97,39 +98,68 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(worst, -500, 500))))
 
 
-def train(samples: list[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM, seed: int = 5) -> Model:
-    """Joint training of embeddings and softmax on (text, label) rows."""
+def _cuts(ends: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of items that sum to about `most` (one item at least), given their running sums."""
+    out, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
+def train(samples: Iterable[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM, seed: int = 5) -> Model:
+    """Joint training of embeddings and softmax on (text, label) rows.
+
+    Every row with words takes part with all its windows. Windows and n-grams
+    are gone through in blocks: beside a block and the different words, eight
+    bytes are held for each word of the texts.
+    """
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
-    ids, lengths, labels, total = [], [], [], 0
+    ids, lengths, labels = array("i"), [], []
     for raw, label in samples:
         words = (raw or b"").lower().split()
-        if words and total < SAMPLE_WORDS:
-            total += len(words)
-            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+        if words:
+            ids.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
             lengths.append(len(words))
             labels.append(label)
     if not labels or len(set(labels)) < 2:  # nothing to tell apart
         return Model(np.full(BUCKETS, np.nan), 4.0 if labels and labels[0] else -4.0)
     y = np.array(labels, float)
-    flat, sizes = np.concatenate(ids), np.array(lengths)
+    flat, sizes = np.frombuffer(ids, np.int32), np.array(lengths)
     grams, each_word = array("i"), array("i")
     for w in vocabulary:
         own = subwords(w)
         grams.extend(own)
         each_word.append(len(own))
     parts, sizes_of = np.frombuffer(grams, np.int32), np.frombuffer(each_word, np.int32)
-    owner = np.repeat(np.arange(len(sizes_of), dtype=np.int32), sizes_of)
-    first = np.cumsum(sizes_of) - sizes_of
-    del ids, vocabulary
+    ends_of = np.cumsum(sizes_of, dtype=np.int64)
+    first = ends_of - sizes_of
+    word_blocks = _cuts(ends_of, GRAMS_AT_ONCE)
+    del vocabulary
     # Windows: every place of a document where a whole window fits (one if it is shorter).
     base = np.cumsum(sizes) - sizes
     width = np.minimum(sizes, WINDOW)
     per = sizes - width + 1
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), per)
-    start = (np.arange(per.sum()) + np.repeat(base - np.cumsum(per) + per, per)).astype(np.int32)
-    end = start + np.repeat(width.astype(np.int32), per)
     head = np.cumsum(per) - per
+    n_windows = int(per.sum())
+
+    def windows(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, slice, np.ndarray]:
+        """A block of windows: their documents, starts and ends in the block's words, these words, and where documents begin."""
+        to = min(n_windows, at + WINDOWS_AT_ONCE)
+        d0, d1 = np.searchsorted(head, [at, to - 1], side="right") - 1
+        begin = np.maximum(head[d0 : d1 + 1], at)
+        n = np.diff(begin, append=to)
+        doc = np.repeat(np.arange(d0, d1 + 1), n)
+        start = np.arange(at, to) + (base - head)[doc]
+        end = start + width[doc]
+        low = int(start[0])
+        return doc, start - low, end - low, slice(low, int(end[-1])), begin - at
+
+    def averages(word: np.ndarray, start: np.ndarray, end: np.ndarray, own: slice) -> np.ndarray:
+        sums = np.concatenate(([0.0], np.cumsum(word[flat[own]], dtype=float)))
+        return (sums[end] - sums[start]) / WINDOW
 
     E = (rng.random((BUCKETS, dim), np.float32) * 2 - 1) / np.float32(dim)
     W = rng.normal(0, 0.5, (2, dim))
@@ -137,31 +167,50 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM,
     vE, vW, vb = np.zeros_like(E), np.zeros_like(W), np.zeros(2)
     weight = np.where(y == 1, TOXIC_WEIGHT / y.sum(), (1 - TOXIC_WEIGHT) / (1 - y).sum())
     rate, momentum = RATE, 0.9
+    kept, counts, word = np.empty(len(parts), bool), np.empty(len(first), np.int32), np.empty(len(first))
+    z = np.empty(n_windows, np.float32)
     for step in range(steps):
         sharp = 0.5 + 3.5 * min(1.0, step / (0.6 * steps))
         u = W[1] - W[0]
         s = E @ u.astype(np.float32)
-        kept = rng.random(len(parts), np.float32) < KEEP  # some n-grams sit a step out, so that the others learn the word too
+        for at in range(0, len(parts), GRAMS_AT_ONCE):  # some n-grams sit a step out, so that the others learn the word too
+            some = slice(at, min(len(parts), at + GRAMS_AT_ONCE))
+            kept[some] = rng.random(some.stop - at, np.float32) < KEEP
         kept[first + rng.integers(0, sizes_of)] = True
-        counts = np.add.reduceat(kept.astype(np.int32), first)
-        word = np.add.reduceat(np.where(kept, s[parts], np.float32(0)), first) / counts
-        sums = np.concatenate(([0.0], np.cumsum(word[flat])))
-        z = ((sums[end] - sums[start]) / WINDOW + (bias[1] - bias[0])).astype(np.float32)
-        top = np.maximum.reduceat(z, head)
-        share = np.exp(np.float32(sharp) * (z - top[doc]))
-        share /= np.add.reduceat(share, head)[doc]
-        odds = np.add.reduceat(share * z, head)
-        p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        for w0, w1 in word_blocks:
+            some = slice(int(first[w0]), int(ends_of[w1 - 1]))
+            heads = first[w0:w1] - first[w0]
+            counts[w0:w1] = np.add.reduceat(kept[some].astype(np.int32), heads)
+            word[w0:w1] = np.add.reduceat(np.where(kept[some], s[parts[some]], np.float32(0)), heads) / counts[w0:w1]
+        # A document's softmax over its windows, put together from blocks.
+        top, mass, odds = np.full(len(y), -np.inf), np.zeros(len(y)), np.zeros(len(y))
+        for at in range(0, n_windows, WINDOWS_AT_ONCE):
+            doc, start, end, own, begin = windows(at)
+            here = z[at : at + len(doc)]
+            here[:] = averages(word, start, end, own) + (bias[1] - bias[0])
+            docs = slice(int(doc[0]), int(doc[-1]) + 1)
+            new = np.maximum(top[docs], np.maximum.reduceat(here, begin))
+            fade = np.exp(sharp * (top[docs] - new))
+            share = np.exp(np.float32(sharp) * (here - new[doc - doc[0]].astype(np.float32)))
+            mass[docs] = mass[docs] * fade + np.add.reduceat(share, begin)
+            odds[docs] = odds[docs] * fade + np.add.reduceat(share * here, begin)
+            top[docs] = new
+        p = 1 / (1 + np.exp(-np.clip(odds / mass, -60, 60)))
         g = weight * (p - y)
-        each = share * (g / WINDOW)[doc]
-        edge = np.zeros(len(flat) + 1)
-        edge[start] = each  # no two windows start or end at the same place
-        edge[end] -= each
-        at_word = np.bincount(flat, np.cumsum(edge[:-1]), len(word)) / counts
+        at_word = np.zeros(len(word))
+        for at in range(0, n_windows, WINDOWS_AT_ONCE):
+            doc, start, end, own, _ = windows(at)
+            share = np.exp(np.float32(sharp) * (z[at : at + len(doc)] - top.astype(np.float32)[doc]))
+            each = share * (g / (WINDOW * mass))[doc]
+            edge = np.zeros(own.stop - own.start + 1)
+            edge[start] = each  # no two windows start or end at the same place
+            edge[end] -= each
+            at_word += np.bincount(flat[own], np.cumsum(edge[:-1]), len(word))
+        at_word /= counts
         a = np.zeros(BUCKETS)
-        for at in range(0, len(parts), 1_000_000):  # in parts, for the memory of what bincount casts
-            some = slice(at, at + 1_000_000)
-            a += np.bincount(parts[some], np.where(kept[some], at_word[owner[some]], 0), BUCKETS)
+        for w0, w1 in word_blocks:
+            some = slice(int(first[w0]), int(ends_of[w1 - 1]))
+            a += np.bincount(parts[some], np.where(kept[some], np.repeat(at_word[w0:w1], sizes_of[w0:w1]), 0), BUCKETS)
         gu = (E.T @ a.astype(np.float32)).astype(float)
         vE *= momentum
         vE -= np.clip(rate * a, -CLIP, CLIP).astype(np.float32)[:, None] * u.astype(np.float32)[None, :]
@@ -172,12 +221,19 @@ def train(samples: list[tuple[bytes, int]], steps: int = STEPS, dim: int = DIM,
         W += vW
         bias += vb
     scores = E @ (W[1] - W[0])
-    word = np.add.reduceat(scores[parts], first) / sizes_of
-    sums = np.concatenate(([0.0], np.cumsum(word[flat])))
-    worst = np.maximum.reduceat((sums[end] - sums[start]) / WINDOW, head)
+    seen = np.zeros(BUCKETS, bool)
+    for w0, w1 in word_blocks:
+        some = slice(int(first[w0]), int(ends_of[w1 - 1]))
+        word[w0:w1] = np.add.reduceat(scores[parts[some]], first[w0:w1] - first[w0]) / sizes_of[w0:w1]
+        seen[parts[some]] = True
+    worst = np.full(len(y), -np.inf)
+    for at in range(0, n_windows, WINDOWS_AT_ONCE):
+        doc, start, end, own, begin = windows(at)
+        docs = slice(int(doc[0]), int(doc[-1]) + 1)
+        worst[docs] = np.maximum(worst[docs], np.maximum.reduceat(averages(word, start, end, own), begin))
     scale, shift = calibrate(worst, y, weight, bias[1] - bias[0])
     scores *= scale
-    scores[np.bincount(parts, minlength=BUCKETS) == 0] = np.nan
+    scores[~seen] = np.nan
     return Model(scores, shift)
 
 
@@ -211,7 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     rows = docs.select("doc_id", as_bytes("text").alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # a bounded number of ids
     rows = rows.select("text", "label", "doc_id").limit(2 * (sample_clean + sample_toxic)).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[2]).encode()), bytes(r[0])))  # the same model whatever order the rows came in
-    return train([(bytes(r[0]), r[1]) for r in rows])
+    rows.reverse()
+    return train((bytes(r[0]), r[1]) for r in iter(lambda: rows.pop() if rows else None, None))  # a text goes when its words are counted
 
 
 def _score(share):

@@ -442,6 +442,19 @@ def test_toxicity(spark, sf, docs, edge, empty):
     assert toxicity.train_and_score(empty, labels).count() == 0
 
 
+def test_toxicity_learns_from_every_sampled_row(monkeypatch):
+    rng = np.random.default_rng(3)
+    giant = b" ".join(b"word%d" % k for k in rng.integers(0, 200, 1_700_000))
+    rows = [(b" ".join([b"word%d" % k for k in rng.integers(0, 200, 30)] + [b"grumbolt"] * (i % 2)), i % 2) for i in range(60)]
+    model = toxicity.train([(giant, 0), *rows], steps=40)
+    assert model.score(b"word1 word2 grumbolt word3") > 0.5 > model.score(b"word1 word2 word3 word4")
+    whole = toxicity.train(rows, steps=40)
+    monkeypatch.setattr(toxicity, "WINDOWS_AT_ONCE", 7)  # documents and words over many blocks
+    monkeypatch.setattr(toxicity, "GRAMS_AT_ONCE", 50)
+    parted = toxicity.train(rows, steps=40)
+    assert all(abs(whole.score(t) - parted.score(t)) < 0.02 for t, _ in rows)
+
+
 # ---- language model
 
 
