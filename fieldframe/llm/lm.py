@@ -3,9 +3,8 @@
 A word's probability mixes three maximum-likelihood estimates: of the pair
 with the word before, of the word alone, and uniform over the vocabulary. The
 mixture weights depend on how often the context occurs (buckets by powers of
-two). They are learned by expectation-maximisation on held-out counts: some
-chunks of the training documents are each set against the counts of all
-others.
+two). They are learned by expectation-maximisation on held-out counts: every
+chunk of the training documents is set against the counts of all others.
 
 Counting sends no row per word. Documents are dealt into chunks of bounded
 size by a hash of their id; a chunk asks for the total counts of its
@@ -28,8 +27,6 @@ from .common import as_bytes, crc_mod, sole, stash
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
 MIN_CHUNKS = 16
-#: One chunk in so many is held out in turn to learn the weights.
-FOLD = 8
 BUCKETS = 40
 STEPS = 60
 #: Weights of pair, word and uniform where no held-out word tells them.
@@ -259,8 +256,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: in
     answers = stash(asked.groupBy("part").applyInArrow(_answer, "chunk int, part int, n bigint, blob binary, tokens bigint, words bigint"), "counts")
     tokens, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     answers = answers.where("chunk >= 0").select("chunk", "part", "n", "blob")
-    some = F.col("chunk") % FOLD == 0
-    cells = own.where(some).groupBy("chunk").cogroup(answers.where(some).groupBy("chunk")).applyInArrow(_held_out(tokens), "bucket bigint, pair bigint, word bigint, held bigint")
+    cells = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_held_out(tokens), "bucket bigint, pair bigint, word bigint, held bigint")
     cells = cells.groupBy("bucket", "pair", "word").agg(F.sum("held").alias("held")).collect()
     weights = learn_weights(sorted(tuple(r) for r in cells), vocabulary)
     found = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(tokens, vocabulary, weights), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -487,6 +487,14 @@ def test_lm_scores(docs, edge, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_holds_out_every_training_word_once(docs, monkeypatch):
+    seen, learn = [], lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda cells, *rest: seen.append(sum(c[3] for c in cells)) or learn(cells, *rest))
+    for frame in (docs, docs.limit(5)):
+        n = lm.score(frame).first().train_tokens
+        assert seen.pop() == n > 0
+
+
 def test_lm_is_a_distribution_and_mixes_as_said():
     texts = [b"a b a b", b"a c", b"b b b c"]
     chunk = lm.Chunk(texts, [True] * 3)
