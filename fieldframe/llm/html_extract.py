@@ -6,7 +6,7 @@ Gaussian, and lines above a share of their spread form content regions. Lines
 of menus, headers, footers, sidebars, notices, adverts, forms and comments are
 told by element, role, id and class; they weigh nothing and are never content.
 Where a page marks its article, the regions inside it decide and grow to all
-its lines; else the regions themselves are the text.
+its lines; else they grow to all lines between and next to them that are not boilerplate.
 """
 
 from __future__ import annotations
@@ -168,6 +168,14 @@ def extract(html: str | None, sigma: float = SIGMA, threshold: float = THRESHOLD
     marked = set(main[content & (main >= 0)].tolist()) or set(main[~silent & (main >= 0)].tolist())
     if marked:
         content = np.isin(main, list(marked)) & ~silent
+    else:  # nothing of the article is dropped: from region to region, and on to the next boilerplate
+        at, plain = np.flatnonzero(content), ~silent & ~menu
+        low, high = int(at[0]), int(at[-1])
+        while low and plain[low - 1]:
+            low -= 1
+        while high + 1 < len(lines) and plain[high + 1]:
+            high += 1
+        content[low : high + 1] |= plain[low : high + 1]
     return "\n".join(lines[i][0] for i in np.flatnonzero(content))
 
 

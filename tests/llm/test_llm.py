@@ -375,6 +375,14 @@ def test_html():
     assert html_extract.extract("<nav>only a menu</nav>") == ""
 
 
+def test_html_without_marked_article_drops_no_line():
+    long, short = [f"Sentence {i} of it. " * 33 for i in range(10)], [f"item {i} of the plain list" for i in range(12)]
+    body = "".join(f"<p>{x}</p>" for x in long) + "<ul>" + "".join(f"<li>{x}</li>" for x in short) + "</ul>"
+    for middle in (body, body + f"<p>{long[0]}</p>"):
+        got = html_extract.extract(f"<nav>Home and more</nav><div>{middle}</div><footer>All rights</footer>").split("\n")
+        assert all(x in got for x in short) and "Home and more" not in got and "All rights" not in got
+
+
 def test_html_pages(spark, sf):
     import html as entities
 
