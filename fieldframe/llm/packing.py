@@ -1,12 +1,13 @@
 """Best-fit packing of documents into sequences of bounded length.
 
-Bulk-synchronous best fit. The pieces are range-sorted by length, longest
-first, so that each has a global rank; gaps of open sequences are kept sorted
-too. A run of equal pieces is a rank interval and a run of equal gaps is an
+Best fit decreasing. The pieces are range-sorted by length over the
+executors, longest first, so that each has a global rank. The matching runs
+on the driver over the histogram of lengths, in place of distributed sweeps;
+gaps of open sequences are kept sorted there too. A run of equal pieces is a rank interval and a run of equal gaps is an
 interval of sequences, and there are at most max_tokens different lengths, so
-a round matches whole runs: each run of pieces goes to the successor gap (the
+it matches whole runs: each run of pieces goes to the successor gap (the
 smallest that holds it), one piece a sequence by rank; gaps shrink, and
-rounds repeat until nothing fits; the rest opens new sequences. The resulting
+what fits nowhere opens new sequences. The resulting
 table of runs does not grow with the number of documents. The pieces find
 their runs by their rank.
 """
