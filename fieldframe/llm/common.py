@@ -13,10 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that part words: blank, tab, line feed, vertical tab, form feed, carriage return.
-#: ``bytes.split()`` without arguments splits at exactly these six.
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
+# ``bytes.split()`` without arguments splits at the six characters that part
+# words: blank, tab, line feed, vertical tab, form feed, carriage return.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a laptop) a folder under /tmp serves.
+    Where the setting is absent a folder under /tmp serves a local master (its
+    one process is driver and executors); on a cluster that is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/fieldframe-shared"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/fieldframe-shared"
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -71,6 +75,29 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: A key with more rows than this, and than its share of all rows, is hot.
+HOT_ROWS = 1_000
+#: Most keys that can be hot: those with over 1/MAX_HOT of all rows (some 30 bytes each).
+MAX_HOT = 100_000
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with classes, one row a key (key, n, others), where a key may hold most rows.
+
+    n is the key's number of rows in `rows`, total that of all (or more).
+    Keys with over total / MAX_HOT rows are broadcast, MAX_HOT at most by
+    that bound, so their rows stay where they are; the others are shuffled.
+    Gives the columns of rows and the others of classes.
+    """
+    limit = max(HOT_ROWS, total // MAX_HOT)
+    slim = classes.select(F.col(key).alias("__k"), *[c for c in classes.columns if c != key])
+    hot, cold = F.broadcast(slim.where(F.col("n") > limit).drop("n")), slim.where(F.col("n") <= limit).drop("n")
+    same = F.col(key) == F.col("__k")
+    heavy = rows.join(hot, same).drop("__k")
+    light = rows.join(F.broadcast(slim.where(F.col("n") > limit).select("__k")), same, "left_anti").join(cold, same).drop("__k")
+    return heavy.unionByName(light)
+
+
 def as_bytes(column: str):
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")

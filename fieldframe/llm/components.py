@@ -3,28 +3,29 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014) on (a, b) rows; every step's edges
 are written to the shared folder, so lineage stays short and lost executors
-cost one step at most. The driver sees three sums a round.
+cost one step at most. The driver sees three sums a round. A node with very
+many neighbours (the hub of a star) is not joined in one task: see spread_join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash
+from .common import drop_stash, spread_join, stash
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Link each node's neighbours (the smaller ones, or the larger ones) to the least of them and itself."""
+def _star(edges: DataFrame, small: bool, most: int) -> DataFrame:
+    """Link each node's neighbours (the smaller ones, or the larger ones) to the least of them and itself. most: edges there are, or more."""
     near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) if small else _both(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    joined = near.join(least, near["a"] == least["k"])
+    least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", "n", F.least("a", "m").alias("m"))
+    joined = spread_join(near, least, "a", most)
     if small:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
@@ -44,8 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if sums[0] == 0 or sums == seen:
             break
         seen = sums
-        large = stash(_star(now, small=False), "large")
-        small = stash(_star(large, small=True), "small")
+        large = stash(_star(now, False, 2 * sums[0]), "large")
+        small = stash(_star(large, True, 2 * sums[0]), "small")
         drop_stash(large)
         drop_stash(now)
         now = small

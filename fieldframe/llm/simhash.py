@@ -3,7 +3,7 @@
 Two fingerprints at most 4 bits apart have a common variant at most 2 bits
 from each. So every fingerprint stands for all its variants within 2 bits,
 variants are brought together, and fingerprints that meet in a variant are
-links by the triangle inequality: a group of any size needs a star of links
+verified bit by bit and linked: a group of any size needs a star of links
 only, never its pairs.
 
 A fingerprint has 2081 such variants, nearly all of them alone. They are
@@ -11,7 +11,9 @@ dealt in two steps. The 64 bits are two halves of 32, and at least one half
 of a link differs in 2 bits or fewer, so the two meet in a variant whose part
 in that half is at most 1 bit from each: the shuffle is on (half, variant of
 that half), 66 rows a fingerprint. The other half's variants are made only
-where two fingerprints met, next to one another.
+where two fingerprints met, next to one another. Where very many met in a
+half's variant, they are not held by one task: their whole variants are
+shuffled, of which no more than 2081 fingerprints share one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, bound_batches, records, sole, stash
+from .common import as_bytes, blocks, bound_batches, records, sole, spread_join, stash
 from .components import components
 
 SHINGLE = 4
@@ -31,6 +33,8 @@ SEED = 42
 RADIUS = 4
 #: Variants that a task holds at once while it compares one group.
 VARIANTS_AT_ONCE = 4_000_000
+#: Fingerprints of one half variant that a task compares by itself.
+GROUP_MOST = 50_000
 
 
 def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
@@ -88,7 +92,7 @@ def _half_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at in range(0, whole.num_rows, 2_000):
             fps = whole.column("fp").slice(at, 2_000).to_numpy(zero_copy_only=False).view(np.uint64)
             low, high = (fps & np.uint64(0xFFFFFFFF)).astype(np.uint32), (fps >> np.uint64(32)).astype(np.uint32)
-            keys = [(half.astype(np.int64) << 0)[:, None] ^ _ONE.astype(np.int64)[None, :] | side << 32 for side, half in ((0, low), (1, high))]
+            keys = [half.astype(np.int64)[:, None] ^ _ONE.astype(np.int64)[None, :] | side << 32 for side, half in ((0, low), (1, high))]
             yield records([pa.array(np.concatenate([k.ravel() for k in keys])), pa.array(np.tile(np.repeat(fps.view(np.int64), 33), 2))], ["key", "fp"])
 
 
@@ -139,6 +143,7 @@ def group_links(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(v, kind="stable")
         v, m = v[order], m[order]
         met = np.flatnonzero(v[1:] == v[:-1])
+        met = met[np.bitwise_count(fps[m[met]] ^ fps[m[met + 1]]) <= RADIUS]  # verify
         pairs = np.unique(np.stack((m[met], m[met + 1]), axis=1), axis=0)
         left.append(pairs[:, 0]), right.append(pairs[:, 1])
     a, b = np.concatenate(left), np.concatenate(right)
@@ -149,44 +154,91 @@ def group_links(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[tied], fps[root[tied]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: groups follow one another, over batch borders too."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal keys."""
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    return starts, np.concatenate((starts[1:], [len(keys)]))
 
-    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a = np.concatenate([x for x, _ in found]).view(np.int64)
-        b = np.concatenate([y for _, y in found]).view(np.int64)
-        return records([pa.array(a), pa.array(b)], ["a", "b"])
 
-    held_keys, held_fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def _links(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key: groups follow one another, over batch borders too.
 
-    def settle(keys: np.ndarray, fps: np.ndarray) -> None:
-        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-        ends = np.concatenate((starts[1:], [len(keys)]))
-        for i in np.flatnonzero(ends - starts > 1).tolist():
-            members = np.unique(fps[starts[i] : ends[i]])
-            if len(members) > 1:
-                found.append(group_links(int(keys[starts[i]]), members))
+        Gives links (a, b, null). Members of groups over `most` are passed on
+        as (fingerprint, null, key).
+        """
+        held: list[np.ndarray] = []  # the group that may go on
+        key, n, over = None, 0, False
 
+        def settle() -> tuple[np.ndarray, np.ndarray] | None:
+            return group_links(key, np.unique(np.concatenate(held))) if n > 1 and not over else None
+
+        def rows(a: np.ndarray, b: np.ndarray | None, key: int | None) -> pa.RecordBatch:
+            other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+            keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(np.full(len(a), key, np.int64))
+            return records([pa.array(a.view(np.int64)), other, keys], ["a", "b", "key"])
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(keys):
+                continue
+            found = []
+            for i, j in zip(*(x.tolist() for x in _runs(keys))):
+                if keys[i] != key:
+                    found.append(settle())
+                    held, key, n, over = [], int(keys[i]), 0, False
+                held.append(fps[i:j])
+                n += j - i
+                if n > most:
+                    over = True
+                    yield rows(np.concatenate(held), None, key)
+                    held = []
+            found = [x for x in found if x is not None and len(x[0])]
+            if found:
+                yield rows(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), None)
+        last = settle()
+        if last is not None and len(last[0]):
+            yield rows(*last, None)
+
+    return run
+
+
+def _whole_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For members of a half variant's group, all variants within two bits that have this half."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1_000):
+            some = whole.slice(at, 1_000)
+            keys = some.column("key").to_numpy(zero_copy_only=False)
+            fps = some.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            side, part = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint64)
+            shift = np.where(side == 1, 0, 32).astype(np.uint64)  # where the other half stands
+            own = fps >> (np.uint64(32) - shift) & np.uint64(0xFFFFFFFF)
+            for rows, masks in ((own == part, _TWO), (own != part, _ONE)):
+                if rows.any():
+                    base = fps[rows] & np.uint64(0xFFFFFFFF) << shift[rows] | part[rows] << (np.uint64(32) - shift[rows])
+                    v = base[:, None] ^ masks.astype(np.uint64)[None, :] << shift[rows][:, None]
+                    yield records([pa.array(v.ravel().view(np.int64)), pa.array(np.repeat(fps[rows], len(masks)).view(np.int64))], ["key", "fp"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by whole variant: each fingerprint is linked to the one before that met it there."""
+    last_key = last = None
     for batch in batches:
-        keys = np.concatenate((held_keys, batch.column("key").to_numpy(zero_copy_only=False)))
-        fps = np.concatenate((held_fps, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         if not len(keys):
             continue
-        last = int(np.searchsorted(keys, keys[-1]))  # where the group that may go on begins
-        if last:
-            settle(keys[:last], fps[:last])
-        held_keys, held_fps = keys[last:], fps[last:]
-        if found:
-            yield out(found)
-            found = []
-    if len(held_keys):
-        settle(held_keys, held_fps)
-    if found:
-        yield out(found)
+        if last_key is not None:
+            keys, fps = np.concatenate(([last_key], keys)), np.concatenate((np.array([last], np.uint64), fps))
+        met = np.flatnonzero(keys[1:] == keys[:-1])
+        met = met[(np.bitwise_count(fps[met] ^ fps[met + 1]) <= RADIUS) & (fps[met] != fps[met + 1])]
+        last_key, last = int(keys[-1]), int(fps[-1])
+        if len(met):
+            yield records([pa.array(fps[met].view(np.int64)), pa.array(fps[met + 1].view(np.int64))], ["a", "b"])
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """a, b: links between different fingerprints that connect all within RADIUS bits.
 
     fps: one row for each different fingerprint (fp). Not every pair is
@@ -194,10 +246,23 @@ def links(fps: DataFrame) -> DataFrame:
     """
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.select("fp").mapInArrow(_half_variants, "key bigint, fp bigint")
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "a bigint, b bigint").distinct()
+    met = stash(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(group_most), "a bigint, b bigint, key bigint"), "met")
+    found = met.where("b is not null").select("a", "b")
+    large = met.where("b is null").select("key", F.col("a").alias("fp"))
+    if large.limit(1).count():
+        variants = large.repartition(n, "fp", "key").mapInArrow(_whole_variants, "key bigint, fp bigint")
+        found = found.union(variants.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_verify, "a bigint, b bigint"))
+    return found.distinct()
+
+
+def _grouped(least: DataFrame, group_most: int) -> tuple[DataFrame, DataFrame]:
+    """From fp, best, n (one row a fingerprint): these with their component, and the least best of each component."""
+    joined = components(links(least, group_most))
+    found = stash(least.join(joined, least["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "best", "n"), "grouped")
+    return found, found.groupBy("component").agg(F.min("best").alias("component_best"), F.count(F.lit(1)).alias("n"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row.
 
     component_id is the smallest id reachable over links of at most RADIUS
@@ -205,25 +270,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and are linked like any other. Rows with equal
     fingerprints are one group; equal rows stay rows. A null id is passed
     over as a smallest id unless all of a group are null. An empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. Other columns are ignored. A fingerprint or a component
+    that holds most rows is not gathered in one task.
     """
     rows = stash(fingerprint(docs, id_col, text_col), "fingerprints")
-    least = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    joined = components(links(least))
-    found = least.join(joined, least["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    ids = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = found.select("fp", "component").join(ids, "component").select(F.col("fp").alias("own"), "component_id")
-    whole = rows.join(classes, F.col("fp") == F.col("own"))
+    least = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("best"), F.count(F.lit(1)).alias("n")), "least")
+    found, ids = _grouped(least, group_most)
+    classes = spread_join(found.select("fp", "component", F.col("n").alias("rows")), ids, "component", found.count())
+    classes = stash(classes.select("fp", F.col("rows").alias("n"), F.col("component_best").alias("component_id")), "classes")
+    whole = spread_join(rows, classes, "fp", rows.count())
     return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("simhash", int)
+    for whole in batches:
+        for batch in blocks(whole, "text", 1 << 20):
+            found = fingerprints_of(batch.column("text").to_pylist())
+            yield records([batch.column("row"), batch.column("text"), pa.array(found.view(np.int64))], ["row", "text", "fp"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_most: int = GROUP_MOST) -> DataFrame:
     """docs with one row of each group of near duplicates, all columns kept.
 
-    The row with the group's smallest id stays; of several rows with that id,
-    one. Rows without an id cannot be told apart and all stay.
+    Rows are told apart by a number of their own, so an id that is repeated
+    over different texts, or missing, loses none. The row with the group's
+    smallest id stays; rows without an id come after all others, and rows
+    with equal ids are in the order of a hash of all columns, so the order
+    of rows does not matter. Null and empty texts are one group. An empty
+    table gives no rows.
     """
-    marked = near_duplicates(docs, id_col, text_col)
-    lone = marked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(lone, [id_col], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    bound_batches(docs.sparkSession)
+    names = docs.columns
+    # All columns but the text travel as one struct: no clash of names.
+    row = F.struct(F.lit(0).alias("__pad"), *[F.col(f"`{c}`") for c in names if c != text_col])
+    own = docs.select(row.alias("row"), as_bytes(text_col).alias("text"))
+    found = own.mapInArrow(_fingerprint_rows, f"row {own.schema['row'].dataType.simpleString()}, text binary, fp bigint")
+    held = stash(found.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    hashed = ["text"] if "map<" in own.schema["row"].dataType.simpleString() else ["row", "text"]
+    best = F.struct(F.col(f"row.`{id_col}`").isNull().alias("late"), F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(*hashed).alias("hash"), F.col("at"))
+    least = stash(held.groupBy("fp").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")), "least")
+    keep = _grouped(least, group_most)[1].select(F.col("component_best.at").alias("at"))
+    text = F.col("text").cast(docs.schema[text_col].dataType)
+    return held.join(keep, "at", "left_semi").select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])

@@ -317,7 +317,33 @@ def test_near_duplicates(docs, edge, empty):
     kept = simhash.keep_one(edge)
     assert kept.columns == edge.columns
     ids = collections.Counter(r.doc_id for r in kept.collect())
-    assert ids[7] == 1 and ids[8] == 0 and ids[0] == 1 and ids[1] == ids[2] == 0 and ids[None] == 2
+    assert ids[7] == 1 and ids[8] == 0 and ids[0] == 1 and ids[1] == ids[2] == 0 and ids[None] == 1  # "no id at all" is like no other
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_keep_one_loses_no_text_whatever_the_order(spark, monkeypatch):
+    a, b = "a text like no other one here", "the copy that comes with two ids"
+    rows = [(0, b, "x"), (1, b, "x"), (1, a, "x"), (None, a, "y"), (None, "no id and alone", "y"), (None, "no id and alone", "y"), (2, None, "z"), (3, "", "z")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for hot in (1_000, 0):  # all keys hot as well
+            monkeypatch.setattr("fieldframe.llm.common.HOT_ROWS", hot)
+            frame = spark.createDataFrame(order, "doc_id bigint, text string, row string").repartition(3)
+            got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.row) for r in simhash.keep_one(frame).collect())
+            assert got == sorted([(0, b, "x"), (1, a, "x"), (-1, "no id and alone", "y"), (2, "", "z")])
+
+
+def test_large_groups_are_shuffled_by_whole_variants(spark):
+    rng = np.random.default_rng(5)
+    fps = {int(rng.integers(0, 1 << 32)) << 32 | 7 for _ in range(30)}
+    base = 0x123456789ABCDEF0
+    for _ in range(120):
+        fps.add(base ^ sum(1 << int(k) for k in set(rng.integers(0, 64, int(rng.integers(0, 7))).tolist())))
+    members = sorted(fps)
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in members], "fp bigint")
+    want = groups(members, lambda a, b: (a ^ b).bit_count() <= 4)
+    for most in (2, 20, 50_000):
+        linked = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(frame, most).collect()}
+        assert groups(members, lambda a, b: frozenset((a, b)) in linked) == want
 
 
 @settings(max_examples=30, deadline=None)
@@ -330,7 +356,7 @@ def test_ball_hashing_connects_all_links(base, flips):
     rows = sorted((k, f) for b in batches for k, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
     parts = [rows[i : i + 50] for i in range(0, len(rows), 50)]
     batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.int64()), pa.array([f for _, f in p], pa.int64())], names=["key", "fp"]) for p in parts]
-    linked = {frozenset(x) for b in simhash._links(batches) for x in zip(b.column(0).to_numpy().view(np.uint64).tolist(), b.column(1).to_numpy().view(np.uint64).tolist())}
+    linked = {frozenset(x) for b in simhash._links(50_000)(batches) for x in zip(b.column(0).to_numpy().view(np.uint64).tolist(), b.column(1).to_numpy().view(np.uint64).tolist())}
     members = fps.tolist()
     want = groups(members, lambda a, b: (a ^ b).bit_count() <= 4)
     assert groups(members, lambda a, b: frozenset((a, b)) in linked) == want
@@ -353,6 +379,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("fieldframe.llm.common.HOT_ROWS", 50)
+    star = [(5_000, i) for i in range(1, 400)] + [(400 + i, 399 - i) for i in range(100)] + [(9_000, 9_001)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert got == {i: 1 for i in range(1, 500)} | {5_000: 1, 9_000: 9_000, 9_001: 9_000}
+
+
 # ---- html
 
 
