@@ -130,32 +130,58 @@ def test_token_store(spark, docs, edge, empty, tokenizer):
 # ---- packing
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 32), max_size=300))
-def test_plan_runs(lengths):
-    counts = collections.Counter(lengths)
-    ranked = sorted(lengths, reverse=True)
-    at, used = 0, collections.defaultdict(list)
-    for rank, n, first, offset in packing.plan_runs(counts, 32):
-        assert rank == at
-        at += n
-        for k in range(n):
-            used[first + k].append((offset, ranked[rank + k]))
-    assert at == len(lengths)
-    for parts in used.values():
-        end = 0
-        for offset, length in sorted(parts):
-            assert offset == end
-            end += length
-        assert end <= 32
-    bins = []  # best fit, longest first, one document at a time
-    for x in ranked:
+def best_fit(lengths, most):
+    """Bins of best fit, longest first, one piece at a time."""
+    bins = []
+    for x in sorted(lengths, reverse=True):
         fit = [i for i, b in enumerate(bins) if b >= x]
         if fit:
             bins[min(fit, key=lambda i: bins[i])] -= x
         else:
-            bins.append(32 - x)
-    assert len(used) == len(bins)
+            bins.append(most - x)
+    return len(bins)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.booleans()), max_size=60), st.lists(st.integers(0, 60), max_size=4))
+def test_sweeps_over_ranges_match_like_one_sweep(rows, cuts):
+    order = sorted(((-size, 0 if gap else 1, i) for i, (size, gap) in enumerate(rows)))
+
+    def sweep(part):
+        free, alone, pairs = [], [], []
+        for _, kind, i in part:
+            if not kind:
+                free.append(i)
+            elif free:
+                pairs.append((i, free.pop()))
+            else:
+                alone.append(i)
+        return free, alone, pairs
+
+    edges = [0, *sorted(min(c, len(order)) for c in cuts), len(order)]
+    parts = [sweep(order[a:b]) for a, b in zip(edges, edges[1:])]
+    pieces, gaps, met = packing.meet([(p, len(alone), len(free)) for p, (free, alone, _) in enumerate(parts)])
+    number = lambda plan, p, i, step: next((n + step * (i - a) for a, b, n in plan.get(p, []) if a <= i < b), None)
+    by_piece = {number(pieces, p, j, 1): x for p, (_, alone, _) in enumerate(parts) for j, x in enumerate(alone)}
+    by_gap = {number(gaps, p, j, -1): x for p, (free, _, _) in enumerate(parts) for j, x in enumerate(free)}
+    found = [x for *_, pairs in parts for x in pairs] + [(by_piece[m], by_gap[m]) for m in range(met)]
+    assert sorted(found) == sorted(sweep(order)[2])
+
+
+@pytest.mark.parametrize("rows_a_task", [100_000, 40])
+def test_place_is_near_best_fit(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(packing, "ROWS_A_TASK", rows_a_task)
+    rng = np.random.default_rng(8)
+    for lengths in (rng.integers(1, 65, 400), np.concatenate((np.ones(300, int), rng.integers(20, 65, 40))), np.full(50, 22), np.array([64, 64]), np.minimum(64, 1 + rng.exponential(9, 500)).astype(int)):
+        ranked = sorted(lengths.tolist(), reverse=True)
+        frame = spark.createDataFrame(list(enumerate(ranked)), "rank bigint, length bigint")
+        found = packing._place(frame, 64).collect()
+        assert sorted((r.rank, r.length) for r in found) == list(enumerate(ranked))
+        used = collections.Counter()
+        for r in found:
+            used[r.seq] += r.length
+        assert len({(r.seq, r.turn, r.slot) for r in found}) == len(ranked) and max(used.values()) <= 64
+        assert len(used) <= best_fit(ranked, 64) * 1.02 + 1
 
 
 def check_packing(frame, rows, tokenizer, most=2048):
@@ -416,16 +442,77 @@ def test_html_without_marked_article_drops_no_line():
         assert all(x in got for x in short) and "Home and more" not in got and "All rights" not in got
 
 
-def test_html_pages(spark, sf):
+def test_html_layout_names_do_not_silence_the_article():
+    body = "<h1>Title here</h1>" + "<p>Sentences of the article, one after the other.</p>" * 6
+    want = ["Title here"] + ["Sentences of the article, one after the other."] * 6
+    for page in (
+        f'<div class="has-sidebar"><article>{body}</article><aside>Other news of this day</aside></div>',
+        f'<main class="no-sidebar">{body}</main><div class="sidebar">Other news of this day</div>',
+        f'<article class="social-news">{body}</article>',
+        f'<div class="cookie-wrap"><div class="page">{body}</div></div>',  # all that there is
+        f'<nav><a href=1>Home</a></nav><dialog><article>{body}</article></dialog>',
+        f'<div>Buy this now</div><div class="post">{body}<div class="comments"><p>A long comment of a reader, who says much about it.</p></div></div><div>Our other sites</div>',
+    ):
+        assert html_extract.extract(page).split("\n") == want, page
+    assert html_extract.extract(f'<article><div class="ad-box">Buy</div>{body}</article>').split("\n") == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400), st.integers(0, 30), st.sampled_from([0.0, 1.0, 4.0])), min_size=1, max_size=40))
+def test_clusters_by_the_formula(rows):
+    ratios = [p * n / max(1, t) for n, t, p in rows]
+    level = []
+    for i in range(len(rows)):
+        w = {k: math.exp(-0.5 * (k - i) ** 2) for k in range(max(0, i - 3), min(len(rows), i + 4))}
+        level.append(sum(w[k] * ratios[k] for k in w) / sum(w.values()))
+    mean = sum(level) / len(level)
+    cut = 0.5 * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
+    got, found = html_extract.clusters(*(np.array(c, float) for c in zip(*rows)))
+    for i, (_, _, p) in enumerate(rows):
+        assert abs(level[i] - cut) < 1e-9 or got[i] == (level[i] > cut and p > 0)
+        assert found[i] == pytest.approx(ratios[i])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 100), max_size=12), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 50)), min_size=1, max_size=30))
+def test_region_is_the_smallest_container_with_the_share(up, lines):
+    parents = [0] + [u % (k + 1) for k, u in enumerate(up)]
+    lines = [(c % len(parents), w) for c, w in lines]
+    above = lambda c: [c] if c == 0 else [c, *above(parents[c])]
+    held = {k: sum(w for c, w in lines if k in above(c)) for k in range(len(parents))}
+    fits = [k for k in held if held[k] >= 0.9 * held[0]]
+    got, _ = html_extract.region(np.array([c for c, _ in lines]), np.array([w for _, w in lines], float), parents)
+    assert got == max(fits)
+
+
+def test_hostile_html_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 16_000 + "</i>" * 16_000, "<b>" * 16_000 + "<hr>" * 16_000, "<p>" + "<b>" * 16_000 + "<li>x" * 16_000, "<div>" * 16_000 + "text" + "</p>" * 16_000, "<div><span>" * 8_000 + "</div>" * 16_000):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 2
+    words = "word " * 400_000
+    assert html_extract.extract(f"<nav>menu</nav><div><p>{words}</p><p>end</p></div>") == words.strip() + "\nend"
+
+
+def page_truth(page):
     import html as entities
 
+    body = re.search(r"<article>(.*)</article>", page, re.S)[1].replace("<br>", " ")
+    parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+    return [p for p in parts if p]
+
+
+def test_html_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = pages.collect()
     got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
-    for r in pages.collect():
-        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
-        parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
-        want = "\n".join(p for p in parts if p)
+    for r in rows:
+        want = "\n".join(page_truth(r.html))
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+    for start, end in (('<div class="x">', "</div>"), ("", "")):  # nothing marks the article
+        assert all(html_extract.extract(r.html.replace("<article>", start).replace("</article>", end)).split("\n") == page_truth(r.html) for r in rows)
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "", "x")], "page_id bigint, url string, html string, text string")
     assert [r.n_chars for r in html_extract.extract_pages(odd).collect()] == [0, 0, 0]
     assert html_extract.extract_pages(odd.limit(0)).count() == 0
