@@ -1,20 +1,21 @@
 """Best-fit packing of documents into sequences of bounded length.
 
 Bulk-synchronous best fit, longest pieces first. Pieces and gaps are rows.
-Pieces are gone through in bands of length, each half of the one before. A
-round range-sorts a band's pieces and the gaps that may hold one together, by
-falling size, gaps before pieces. Every task sweeps its range: a piece's
-successor is the smallest gap before it that is still free, so of pieces that
-want the same gap the first by rank gets it, and the next the next larger gap.
-What a range leaves open, gaps and pieces, is matched over the ranges by their
-counts in the same way. Gaps shrink by what they took, and the round is
-repeated with the pieces that are left; where gaps hold no more, as many
-sequences are opened as those pieces need at least. The driver sees counts by
-range and by band only.
+Pieces are gone through in bands of length, each a quarter of the one before.
+A round range-sorts a band's pieces and the gaps that may hold one together,
+by falling size, gaps before pieces. Every task sweeps its range: a piece's
+successor is the smallest gap of the range that holds it, so of pieces that
+want the same gap the first by rank gets it; the gap goes on with what is left
+of it. Pieces and gaps that a range leaves are matched over the ranges by
+their counts, each piece with the last gap before. Gaps shrink by what they
+took, and the round is repeated with the pieces that are left; where gaps hold
+no more, as many sequences are opened as those pieces need at least. The
+driver sees counts by range and by band only.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -65,8 +66,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, max_t
 
 def bands(max_tokens: int) -> list[tuple[int, int]]:
     """(largest, next smaller band's largest) length of each band."""
-    edges = [max_tokens >> k for k in range(max_tokens.bit_length())]
-    return list(zip(edges, [*edges[1:], 0]))
+    edges = [max_tokens, max_tokens // 2]
+    while edges[-1]:
+        edges.append(edges[-1] // 4)
+    return list(zip(edges, edges[1:]))
 
 
 _SWEPT = "kind int, part int, pos bigint, rank bigint, length bigint, seq bigint, slot int"
@@ -82,30 +85,38 @@ def _rows(kind: int, part: int, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (size, kind, a, b) by falling size: each piece takes the smallest gap before it that is free.
+    """Rows (size, kind, a, b) by falling size: each piece takes the smallest gap that holds it, what is left of it stays.
 
-    Gaps are (seq, slot), pieces (rank, 0). What is left is numbered: pieces
-    in order, gaps from the largest.
+    Gaps are (seq, slot), pieces (rank, 0). Pieces that found none are
+    numbered in order; so are the gaps that hold any piece of the ranges
+    after, from the largest.
     """
     part = TaskContext.get().partitionId()
-    free: list[tuple[int, int]] = []
-    n = 0
+    free: list[tuple[int, int, int]] = []  # ascending: size, seq, slot
+    n, least = 0, 0
     for batch in batches:
         matched, alone = [], []
         for size, kind, a, b in zip(*(batch.column(c).to_pylist() for c in ("size", "kind", "a", "b"))):
             if kind == _GAP:
-                free.append((a, b))
-            elif free:
-                matched.append((None, a, size, *free.pop()))
+                bisect.insort(free, (size, a, b))
             else:
-                alone.append((n, a, size, None, None))
-                n += 1
+                at = bisect.bisect_left(free, (size,))
+                if at < len(free):
+                    room, seq, slot = free.pop(at)
+                    matched.append((None, a, size, seq, slot))
+                    if room > size:
+                        bisect.insort(free, (room - size, seq, slot))
+                else:
+                    alone.append((n, a, size, None, None))
+                    n += 1
+            least = size
         if matched:
             yield _rows(_MATCHED, part, matched)
         if alone:
             yield _rows(_PIECE, part, alone)
-    for at in range(0, len(free), ROWS_A_TASK):
-        yield _rows(_GAP, part, [(at + i, None, None, *x) for i, x in enumerate(free[at : at + ROWS_A_TASK])])
+    left = free[bisect.bisect_left(free, (least,)) :][::-1]
+    for at in range(0, len(left), ROWS_A_TASK):
+        yield _rows(_GAP, part, [(at + i, None, None, seq, slot) for i, (_, seq, slot) in enumerate(left[at : at + ROWS_A_TASK])])
 
 
 def meet(sums: list[tuple[int, int, int]]) -> tuple[dict, dict, int]:
@@ -183,10 +194,11 @@ def _place(ranked: DataFrame, max_tokens: int) -> DataFrame:
                 if new:
                     gaps = gaps.union(spark.range(new).select((-1 - opened - F.col("id")).alias("seq"), F.lit(max_tokens).cast("bigint").alias("free")))
                     opened, usable = opened + new, usable + new
-            # A gap takes several pieces at once where all of the band fit; more than it can need wait for the next round.
+            # A gap is several where each holds any piece of the band, so that ranges share it; no more than can be needed.
             several = F.floor(F.col("free") / high)
             offered = F.greatest(F.lit(1), F.when(F.col("free") == max_tokens, several).otherwise(F.least(several, F.lit(-(-4 * count // max(1, usable)))))).cast("int")
-            slots = gaps.where(F.col("free") > low).select("seq", F.when(offered > 1, high).otherwise(F.col("free")).cast("bigint").alias("size"), F.explode(F.sequence(F.lit(0), offered - 1)).alias("slot"))
+            slots = gaps.where(F.col("free") > low).select("seq", "free", offered.alias("k"), F.explode(F.sequence(F.lit(0), offered - 1)).alias("slot"))
+            slots = slots.select("seq", "slot", F.when(F.col("slot") < F.col("k") - 1, F.lit(high).cast("bigint")).otherwise(F.col("free") - high * (F.col("k") - 1)).alias("size"))
             both = slots.select("size", F.lit(-_GAP).alias("kind"), F.col("seq").alias("a"), F.col("slot").alias("b")).union(left.select("length", F.lit(_PIECE), "rank", F.lit(0)))
             order = [F.col("size").desc(), F.col("kind").asc(), F.col("a").asc(), F.col("b").asc()]
             n = min(tasks, -(-(count + usable) // ROWS_A_TASK))
@@ -229,6 +241,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, max_tok
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece").asc()]
     ranked = stash(found.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id()), "ranked")
     spots = _place(ranked.select("rank", "length"), max_tokens)
-    before = Window.partitionBy("seq").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, -1)  # max_tokens rows at most
+    before = Window.partitionBy("seq").orderBy("turn", "slot", "rank").rowsBetween(Window.unboundedPreceding, -1)  # max_tokens rows at most
     spots = spots.select(F.col("rank").alias("r"), F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
     return ranked.join(spots, F.col("rank") == F.col("r")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
