@@ -1,15 +1,19 @@
 """Interpolation, remapping, masks and sparse-weight regridding.
 
-Axes are small and live on the driver; weights are small tables of
-coordinates in micro-degrees. Cells find their weights by equi-joins on
-integers, so no range join is needed.
+Axes are small and live on the driver, and so do weights along one axis; those
+of cells are made by the executors. Weights are tables of coordinates in
+micro-degrees. Cells find their weights by equi-joins on integers, so no range
+join is needed.
 """
 
 from __future__ import annotations
 
+import difflib
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,31 +56,62 @@ def nearest_weights(src: list[float], dst: list[float], inside: bool = True) ->
     for x in dst:
         if not len(s) or inside and not s[0] - 1e-9 <= x <= s[-1] + 1e-9:
             continue
-        out.append((x, src[int(np.argmin(np.round(np.abs(s - x), 9)))], 1.0))
+        at = int(np.searchsorted(s, x))
+        near = range(max(0, at - 2), min(len(s), at + 2))
+        out.append((x, src[min(near, key=lambda k: round(abs(s[k] - x), 9))], 1.0))
     return out
 
 
+#: Knots on each side of an interval that its spline weights reach; those farther away weigh less than 1e-20.
+REACH = 40
+
+
+def _spline(x: np.ndarray) -> np.ndarray:
+    """Second derivatives of the not-a-knot cubic spline at the knots, as a matrix on the values.
+
+    The outer ones follow from their neighbours (the third derivative goes on
+    over the second knot); the inner ones solve a tridiagonal system.
+    """
+    n, h = len(x), np.diff(x)
+    inner = np.arange(1, n - 1)
+    right = np.zeros((n - 2, n))
+    right[inner - 1, inner - 1], right[inner - 1, inner], right[inner - 1, inner + 1] = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]
+    low, middle, high = h[:-1] / 6, (h[:-1] + h[1:]) / 3, h[1:] / 6
+    first, last = h[0] / h[1], h[-1] / h[-2]
+    middle[0] += low[0] * (1 + first)
+    high[0] -= low[0] * first
+    middle[-1] += high[-1] * (1 + last)
+    low[-1] -= high[-1] * last
+    for i in range(1, n - 2):
+        share = low[i] / middle[i - 1]
+        middle[i] -= share * high[i - 1]
+        right[i] -= share * right[i - 1]
+    bend = np.zeros((n, n))
+    bend[n - 2] = right[-1] / middle[-1]
+    for i in range(n - 3, 0, -1):
+        bend[i] = (right[i - 1] - high[i - 1] * bend[i + 1]) / middle[i - 1]
+    bend[0] = (1 + first) * bend[1] - first * bend[2]
+    bend[-1] = (1 + last) * bend[-2] - last * bend[-3]
+    return bend
+
+
 def cubic_weights(src: list[float], dst: list[float]) -> list[tuple[float, float, float]]:
     """Weights of the not-a-knot cubic spline through the sources."""
     x, n = np.array(src), len(src)
     if n < 4:
         raise ValueError("cubic interpolation needs four points an axis")
-    h = np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros((n, n))  # a @ second derivatives = b @ values
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1] / 6, (h[i - 1] + h[i]) / 3, h[i] / 6
-        b[i, i - 1 : i + 2] = 1 / h[i - 1], -1 / h[i - 1] - 1 / h[i], 1 / h[i]
-    a[0, :3] = -1 / h[0], 1 / h[0] + 1 / h[1], -1 / h[1]  # the third derivative goes on over the second knot
-    a[-1, -3:] = -1 / h[-2], 1 / h[-2] + 1 / h[-1], -1 / h[-1]
-    bend = np.linalg.solve(a, b)
-    out, eye = [], np.eye(n)
+    out, known = [], (-1, -1, None)
     for t in dst:
         if not x[0] - 1e-9 <= t <= x[-1] + 1e-9:
             continue
         k = min(max(int(np.searchsorted(x, t)) - 1, 0), n - 2)
-        u, v = (x[k + 1] - t) / h[k], (t - x[k]) / h[k]
-        w = u * eye[k] + v * eye[k + 1] + ((u**3 - u) * bend[k] + (v**3 - v) * bend[k + 1]) * h[k] ** 2 / 6
-        out += [(t, src[j], float(w[j])) for j in range(n) if w[j] != 0]
+        low, high = max(0, k + 1 - REACH), min(n, k + 1 + REACH)
+        if (low, high) != known[:2]:
+            known = (low, high, _spline(x[low:high]))
+        bend, j, h, eye = known[2], k - low, x[k + 1] - x[k], np.eye(high - low)
+        u, v = (x[k + 1] - t) / h, (t - x[k]) / h
+        w = u * eye[j] + v * eye[j + 1] + ((u**3 - u) * bend[j] + (v**3 - v) * bend[j + 1]) * h**2 / 6
+        out += [(t, src[low + i], float(w[i])) for i in range(high - low) if abs(w[i]) > 1e-17 or i in (j, j + 1) and w[i]]
     return out
 
 
@@ -86,35 +121,67 @@ def _edges(points: list[float]) -> np.ndarray:
     return np.concatenate(([p[0] - (middle[0] - p[0])], middle, [p[-1] + (p[-1] - middle[-1])])) if len(p) > 1 else np.array([p[0] - 0.5, p[0] + 0.5])
 
 
-def conservative_weights(src: list[float], dst: list[float], latitude: bool) -> list[tuple[float, float, float]]:
-    """Shares of each target cell that source cells cover (areas on the sphere for latitudes)."""
+def conservative_weights(src: list[float], dst: list[float], latitude: bool, norm: str | None = None) -> list[tuple[float, float, float]]:
+    """Shares of each target cell that source cells cover (areas on the sphere for latitudes).
+
+    norm: None gives targets that are wholly covered only; dstarea divides by
+    the target's size, fracarea by the part of it that is covered.
+    """
     size = (lambda e: np.sin(np.radians(np.clip(e, -90, 90)))) if latitude else (lambda e: e)
     s, d, out = size(_edges(src)), size(_edges(dst)), []
     for i, t in enumerate(dst):
-        over = np.minimum(s[1:], d[i + 1]) - np.maximum(s[:-1], d[i])
+        first, last = max(0, int(np.searchsorted(s, d[i], side="right")) - 1), min(len(src), int(np.searchsorted(s, d[i + 1])))
+        over = np.minimum(s[first + 1 : last + 1], d[i + 1]) - np.maximum(s[first:last], d[i])
         over[over < 1e-15] = 0
-        if over.sum() >= (d[i + 1] - d[i]) * (1 - 1e-9):
-            out += [(t, src[j], float(over[j] / over.sum())) for j in np.flatnonzero(over)]
+        total, whole = over.sum(), d[i + 1] - d[i]
+        if total > 0 and (norm or total >= whole * (1 - 1e-9)):
+            out += [(t, src[first + j], float(over[j] / (whole if norm == "dstarea" else total))) for j in np.flatnonzero(over)]
     return out
 
 
-def distance_weights(lats: list[float], lons: list[float], spec: GridSpec, k: int = 4) -> list[tuple[float, float, float, float, float]]:
-    """(target lat, lon, source lat, lon, weight): the k nearest by great circle, by inverse distance."""
-    la, lo = (np.radians(v).ravel() for v in np.meshgrid(lats, lons, indexing="ij"))
-    xyz = np.stack((np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)))
-    names = [(a, b) for a in lats for b in lons]
-    out = []
-    for y in spec.lats:
-        for x in spec.lons:
-            p = np.array([math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y))])
-            far = 2 * np.arcsin(np.minimum(1, np.linalg.norm(xyz - p[:, None], axis=0) / 2))
-            near = np.argsort(far, kind="stable")[:k]
-            if far[near[0]] < 1e-12:
-                out.append((y, x, *names[near[0]], 1.0))
-            else:
-                w = 1 / far[near]
-                out += [(y, x, *names[j], float(v)) for j, v in zip(near, w / w.sum())]
-    return out
+def _nearest_cells(lats: np.ndarray, lons: np.ndarray, y: float, x: float, k: int) -> list[tuple[float, int, int]]:
+    """(angle, place of lat, place of lon) of the k nearest cells of a grid by great circle; ties in order of lat, then lon.
+
+    On one latitude the distance grows with the difference of longitude, and
+    it is never less than that of latitude: rows are gone through outwards
+    until none can be nearer, and only the nearest longitudes of each count.
+    """
+    turn = np.abs((lons - x + 180.0) % 360.0 - 180.0)
+    columns = np.sort(np.argsort(turn, kind="stable")[: k + 1])
+    half = np.radians(turn[columns]) / 2
+    found: list[tuple[float, int, int]] = []
+    rows = np.argsort(np.abs(lats - y), kind="stable")
+    for at in range(0, len(rows), 8):
+        some = rows[at : at + 8]
+        if len(found) >= k and math.radians(abs(lats[some[0]] - y)) > found[k - 1][0] + 1e-12:
+            break
+        p, q = np.radians(lats[some])[:, None], math.radians(y)
+        angle = 2 * np.arcsin(np.minimum(1, np.sqrt(np.sin((p - q) / 2) ** 2 + np.cos(p) * math.cos(q) * np.sin(half)[None, :] ** 2)))
+        found += [(round(float(a), 12), int(some[i]), int(columns[j])) for (i, j), a in np.ndenumerate(angle)]
+        found = sorted(found)[: k + 1]
+    return found[:k]
+
+
+def distance_table(spark: SparkSession, lats: list[float], lons: list[float], spec: GridSpec, k: int = 4, exponent: float = 1.0) -> DataFrame:
+    """ty, tx, sy, sx, w: the k nearest sources of each target by great circle, by inverse distance; made by the executors."""
+    la, lo, xs, y0, dy, x0, dx = np.array(lats), np.array(lons), spec.xsize, spec.yfirst, spec.yinc, spec.xfirst, spec.xinc
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for cell in frame["id"].tolist():
+                y, x = y0 + cell // xs * dy, x0 + cell % xs * dx
+                near = _nearest_cells(la, lo, y, x, k)
+                if near[0][0] < 1e-11:
+                    near, w = near[:1], np.ones(1)
+                else:
+                    w = np.array([a for a, _, _ in near]) ** -exponent
+                out += [(y, x, la[i], lo[j], v) for (_, i, j), v in zip(near, (w / w.sum()).tolist())]
+            yield pd.DataFrame(out, columns=["ty", "tx", "sy", "sx", "w"])
+
+    if not lats or not lons:
+        raise ValueError("no cells to take weights from")
+    return spark.range(spec.xsize * spec.ysize).mapInPandas(run, "ty double, tx double, sy double, sx double, w double")
 
 
 def _table(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
@@ -182,13 +249,25 @@ def remap(df: DataFrame, names: list[str], bbox: BBox | None, resolution: float
         return separable(df, conservative_weights(lats, spec.lats, True), conservative_weights(lons, spec.lons, False), names, keys, x, y)
     if method != "remapdis":
         raise ValueError(f"unknown method {method!r}")
-    w = _table(df.sparkSession, distance_weights(lats, lons, spec), "ty double, tx double, sy double, sx double, w double")
-    w = w.select("ty", "tx", degrees_key(F.col("sy")).alias("ky"), degrees_key(F.col("sx")).alias("kx"), "w")
+    w = distance_table(df.sparkSession, lats, lons, spec).select("ty", "tx", degrees_key(F.col("sy")).alias("ky"), degrees_key(F.col("sx")).alias("kx"), "w")
     cells = df.select(*keys, degrees_key(F.col(y)).alias("ky"), degrees_key(F.col(x)).alias("kx"), *[value(n).alias(n) for n in names])
     out = cells.join(w, ["ky", "kx"]).groupBy(*keys, "ty", "tx").agg(*[_whole(F.col(n), F.col("w")).alias(n) for n in names])
     return out.withColumnsRenamed({"ty": y, "tx": x})
 
 
+# Names of masks and of their files.
+MASKS = {"cartopy": "cartopy_0.1.mask", "era5": "era5_0.25_mask"}
+
+
+def read_mask(spark: SparkSession, name: str = "era5", folder: str = "data") -> DataFrame:
+    """The named mask (lat, lon and a boolean a feature) from its Parquet file in a folder."""
+    if name not in MASKS:
+        raise ValueError(f"unknown mask {name!r}; there are {sorted(MASKS)}")
+    mask = spark.read.parquet(f"{folder.rstrip('/')}/{MASKS[name]}.parquet")
+    require_columns(mask, "lat", "lon")
+    return mask
+
+
 def land_sea_mask(df: DataFrame, mask: DataFrame, keep: str | None, names: list[str], x: str = "lon", y: str = "lat") -> DataFrame:
     """Keep variables where the nearest mask cell has the feature `keep` (land, ocean); NULL elsewhere."""
     require_columns(df, x, y, *names)
@@ -221,11 +300,85 @@ def regrid_weights(df: DataFrame, weights: DataFrame, dst_grid: DataFrame, names
     return out.join(others, keys, "left") if others is not None and keys else out
 
 
+# Options of weight generation. The first are understood here; the others speak of files and of the tool's runs.
+METHODS = ("bilinear", "conserve", "neareststod", "distance")
+OPTIONS = ("method", "m", "norm_type", "extrap_method", "extrap_num_src_pnts", "extrap_dist_exponent", "ignore_unmapped", "i")
+FILE_OPTIONS = (
+    "source", "s", "destination", "d", "weight", "w", "pole", "p", "line_type", "l", "extrap_num_levels", "ignore_degenerate", "src_type", "dst_type", "t", "r", "src_regional", "dst_regional", "64bit_offset",
+    "netcdf4", "weight_only", "src_missingvalue", "dst_missingvalue", "src_coordinates", "dst_coordinates", "user_areas", "src_loc", "dst_loc", "tilefile_path", "no_log", "check", "checkFlag", "help", "h", "version", "V",
+)
+
+
+def weight_options(**given) -> dict:
+    """Checked options of generate_weights; unknown ones raise with near names, those about files raise too."""
+    short = {"m": "method", "i": "ignore_unmapped"}
+    out = {"method": "bilinear", "norm_type": "dstarea", "extrap_method": "none", "extrap_num_src_pnts": 8, "extrap_dist_exponent": 2.0, "ignore_unmapped": False}
+    allowed = {"method": METHODS, "norm_type": ("dstarea", "fracarea"), "extrap_method": ("none", "neareststod", "nearestidavg")}
+    for name, v in given.items():
+        if name in FILE_OPTIONS:
+            raise ValueError(f"{name} has no meaning here: grids are axes, weights are a frame")
+        if name not in OPTIONS:
+            near = difflib.get_close_matches(name, OPTIONS + FILE_OPTIONS, n=5)
+            raise ValueError(f"unknown option {name}" + (f"; did you mean one of {near}?" if near else ""))
+        name = short.get(name, name)
+        if name in allowed and v not in allowed[name]:
+            raise ValueError(f"{name} must be one of {allowed[name]}, not {v!r}")
+        out[name] = v
+    return out
+
+
+def _numbered(spark: SparkSession, values: list[float], rows: list[tuple[float, float, float]], targets: list[float]) -> DataFrame:
+    """t, s, w with places in place of coordinates."""
+    ps, pt = {v: i for i, v in enumerate(values)}, {v: i for i, v in enumerate(targets)}
+    return spark.createDataFrame([(pt[a], ps[b], float(w)) for a, b, w in rows], "t bigint, s bigint, w double")
+
+
+def generate_weights(spark: SparkSession, src_lats: list[float], src_lons: list[float], spec: GridSpec, **options) -> tuple[DataFrame, DataFrame]:
+    """weights (row, col, s) and dst_grid (row, lat, lon) between regular grids, numbered by latitude, then longitude.
+
+    method: bilinear, conserve (norm_type dstarea or fracarea), neareststod or
+    distance (four nearest). Targets that the method gives nothing have no
+    weights (an error unless ignore_unmapped or extrap_method says otherwise):
+    neareststod takes the nearest source, nearestidavg the
+    extrap_num_src_pnts nearest by inverse distance to extrap_dist_exponent.
+    Weights along an axis are joined by places; no weight is made on the driver.
+    """
+    o = weight_options(**options)
+    nx, cells = len(src_lons), spark.range(spec.xsize * spec.ysize)
+    places = cells.select(F.col("id").alias("row"), F.expr(f"id div {spec.xsize}").alias("ty"), (F.col("id") % spec.xsize).alias("tx"))
+    grid = places.select(F.col("row").cast("int"), (spec.yfirst + F.col("ty") * spec.yinc).alias("lat"), (spec.xfirst + F.col("tx") * spec.xinc).alias("lon"))
+
+    def by_distance(k: int, exponent: float) -> DataFrame:
+        table = distance_table(spark, src_lats, src_lons, spec, k, exponent)
+        names = lambda v, a, b: spark.createDataFrame([(round(x * 1e6), i) for i, x in enumerate(v)], f"{a} bigint, {b} bigint")
+        for c, v, key, to in (("sy", src_lats, "ky", "py"), ("sx", src_lons, "kx", "px")):
+            table = table.withColumn(key, degrees_key(F.col(c))).join(F.broadcast(names(v, key, to)), key)  # an axis
+        row = F.round((F.col("ty") - spec.yfirst) / spec.yinc) * spec.xsize + F.round((F.col("tx") - spec.xfirst) / spec.xinc)
+        return table.select(row.cast("int").alias("row"), (F.col("py") * nx + F.col("px")).cast("int").alias("col"), F.col("w").alias("s"))
+
+    if o["method"] == "distance":
+        return by_distance(4, 1.0), grid
+    if o["method"] == "conserve":
+        wy, wx = conservative_weights(src_lats, spec.lats, True, o["norm_type"]), conservative_weights(src_lons, spec.lons, False, o["norm_type"])
+    else:
+        build = linear_weights if o["method"] == "bilinear" else lambda a, b: nearest_weights(a, b, False)
+        wy, wx = build(src_lats, spec.lats), build(src_lons, spec.lons)
+    y, x = _numbered(spark, src_lats, wy, spec.lats), _numbered(spark, src_lons, wx, spec.lons)
+    y = F.broadcast(y.select(F.col("t").alias("ty"), F.col("s").alias("py"), F.col("w").alias("wy")))  # both are axes
+    x = F.broadcast(x.select(F.col("t").alias("tx"), F.col("s").alias("px"), F.col("w").alias("wx")))
+    met = places.join(y, "ty").join(x, "tx")
+    weights = met.select(F.col("row").cast("int"), (F.col("py") * nx + F.col("px")).cast("int").alias("col"), (F.col("wy") * F.col("wx")).alias("s"))
+    mapped = len({t for t, _, _ in wy}) * len({t for t, _, _ in wx}) == spec.xsize * spec.ysize
+    if mapped:
+        return weights, grid
+    if o["extrap_method"] == "none":
+        if not o["ignore_unmapped"]:
+            raise ValueError("targets without a source; set ignore_unmapped or extrap_method")
+        return weights, grid
+    far = by_distance(*((1, 1.0) if o["extrap_method"] == "neareststod" else (int(o["extrap_num_src_pnts"]), float(o["extrap_dist_exponent"]))))
+    return weights.unionByName(far.join(weights.select("row").distinct(), "row", "left_anti")), grid
+
+
 def bilinear_weights(spark: SparkSession, src_lats: list[float], src_lons: list[float], spec: GridSpec, method: str = "linear") -> tuple[DataFrame, DataFrame]:
-    """weights (row, col, s) and dst_grid (row, lat, lon) between regular grids, numbered by latitude, then longitude."""
-    build = {"linear": linear_weights, "nearest": nearest_weights}[method]
-    py, px = {v: i for i, v in enumerate(src_lats)}, {v: i for i, v in enumerate(src_lons)}
-    ty, tx = {v: i for i, v in enumerate(spec.lats)}, {v: i for i, v in enumerate(spec.lons)}
-    rows = [(ty[a] * spec.xsize + tx[b], py[c] * len(src_lons) + px[d], wa * wb) for a, c, wa in build(src_lats, spec.lats) for b, d, wb in build(src_lons, spec.lons)]
-    grid = [(i * spec.xsize + j, a, b) for i, a in enumerate(spec.lats) for j, b in enumerate(spec.lons)]
-    return spark.createDataFrame(rows, "row int, col int, s double"), spark.createDataFrame(grid, "row int, lat double, lon double")
+    """weights and dst_grid between regular grids by linear or nearest; targets outside the sources have none."""
+    return generate_weights(spark, src_lats, src_lons, spec, method={"linear": "bilinear", "nearest": "neareststod"}[method], ignore_unmapped=True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import require_columns
+from .ordering import places
 
 # Seconds under which a step is counted in the unit, and the unit's seconds.
 LADDER = ((60, 1, "S"), (3600, 60, "T"), (86400, 3600, "H"), (604800, 86400, "D"), (2419200, 604800, "W"), (29030400, 2419200, "M"), (290304000, 29030400, "Y"))
@@ -24,10 +25,9 @@ def frequency_text(seconds: Column) -> Column:
 
 def time_steps(df: DataFrame, time: str) -> DataFrame:
     """Distinct times, ascending, and their distance to the one before in seconds (none for the first)."""
-    require_columns(df, time)
-    times = df.select(F.col(time).alias("t")).where("t is not null").distinct()
-    step = F.timestamp_diff("SECOND", F.lag("t").over(Window.orderBy("t")), F.col("t"))
-    return times.withColumn("step", step).where("step is not null")
+    found = places(df.select(F.col(time).alias("t")), "t")
+    before = found.select(F.col("t").alias("was"), (F.col("place") + 1).alias("place"))
+    return found.join(before, "place").select("t", F.timestamp_diff("SECOND", F.col("was"), F.col("t")).alias("step"))
 
 
 def time_frequency(df: DataFrame, time: str = "time") -> DataFrame:
@@ -56,13 +56,28 @@ def extent(df: DataFrame, dims: list[str]) -> DataFrame:
     return out
 
 
-def spatiotemporal_info(df: DataFrame, time: str = "time", dims: list[str] | None = None) -> dict:
-    """Frequency, ranges and extents as a dict; entries without a value are left out."""
-    dims = [d for d in ("lat", "lon") if d in df.columns] if dims is None else dims
-    info: dict = {}
-    if time in df.columns:
-        r = time_frequency(df, time).first()
-        info = {"time_freq": r.freq} | {f"{n}_range": (r[f"{n}_min"], r[f"{n}_max"]) for n in ("hour", "month", "year") if r[f"{n}_min"] is not None}
-    for r in extent(df, dims).collect() if dims else []:
-        info[f"{r.dim}_res"], info[f"{r.dim}_bounds"] = r.step, (r.low, r.high)
+def spatiotemporal_info(df: DataFrame, dims: list[str] | None = None) -> dict:
+    """resolution (by dimension: a step, or a frequency for times), ranges of hours, months and years, and {dim}_bounds.
+
+    dims: the dimensions (those of time, lat, lon and their long names that
+    there are, if not given). Entries without a value are left out. A
+    dimension of times has bounds too, unless it is named time; the ranges
+    are those of the last one.
+    """
+    dims = [d for d in ("time", "lat", "lon", "latitude", "longitude") if d in df.columns] if dims is None else list(dims)
+    require_columns(df, *dims)
+    times = [d for d in dims if df.schema[d].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")]
+    resolution: dict = {}
+    info: dict = {"resolution": resolution}
+    for d in times:
+        r = time_frequency(df.select(F.col(d).cast("timestamp_ntz").alias("time"))).first()
+        resolution[d] = r.freq
+        info |= {f"{n}s_range": (r[f"{n}_min"], r[f"{n}_max"]) for n in ("hour", "month", "year") if r[f"{n}_min"] is not None}
+    numbers = [d for d in dims if d not in times]
+    for r in extent(df, numbers).collect() if numbers else []:
+        resolution[r.dim], info[f"{r.dim}_bounds"] = r.step, (r.low, r.high)
+    for d in times:
+        if d != "time":
+            info[f"{d}_bounds"] = tuple(df.agg(F.min(d), F.max(d)).first())
+    info["resolution"] = {d: resolution[d] for d in dims if resolution.get(d) is not None}
     return {k: v for k, v in info.items() if v is not None and v != (None, None)}

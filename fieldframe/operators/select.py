@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import require_columns, value
+from .ordering import percentiles, places
 
 BBox = tuple[float, float, float, float]
 
@@ -34,23 +35,53 @@ def rename_stats(df: DataFrame, variable: str, stats: list[str]) -> DataFrame:
     return df.withColumnsRenamed({s: f"{variable}_{s}" for s in stats})
 
 
-def take_index(df: DataFrame, dim: str, start: int, stop: int | None = None) -> DataFrame:
-    """Rows whose dim value has a place in [start, stop) among its sorted distinct values."""
+def take_label(df: DataFrame, dim: str, *labels) -> DataFrame:
+    """Rows whose dim has one of the values; reaches the scan as a pushed filter."""
     require_columns(df, dim)
-    stop = start + 1 if stop is None else stop
-    places = df.select(dim).distinct().withColumn("__place", F.dense_rank().over(Window.orderBy(dim)) - 1)
-    return df.join(places.where((F.col("__place") >= start) & (F.col("__place") < stop)).drop("__place"), dim, "left_semi")
+    return df.where(F.col(dim).isin(*labels))
+
+
+def take_index(df: DataFrame, dim: str, start: int | list[int], stop: int | None = None) -> DataFrame:
+    """Rows whose dim value has a place in [start, stop) among its sorted different values, or one of several places.
+
+    Places below 0 count from the end.
+    """
+    found = places(df, dim)
+    wanted = list(start) if isinstance(start, (list, tuple)) else None
+    if min(wanted or [0 if wanted is not None else start]) < 0 or (stop is not None and stop < 0):
+        size = found.count()
+        turn = lambda k: k + size if k is not None and k < 0 else k
+        wanted, start, stop = ([turn(k) for k in wanted], start, stop) if wanted is not None else (None, turn(start), turn(stop))
+    if wanted is not None:
+        kept = found.where(F.col("place").isin(*wanted))
+    else:
+        kept = found.where((F.col("place") >= start) & (F.col("place") < (start + 1 if stop is None else stop)))
+    return df.join(kept.drop("place"), dim, "left_semi")
+
+
+def squeeze(df: DataFrame, *dims: str) -> DataFrame:
+    """Without the dimensions that have one value only (one pass for all)."""
+    require_columns(df, *dims)
+    if not dims:
+        return df
+    ends = df.agg(*[x for d in dims for x in (F.min(d), F.max(d))]).first()
+    return df.drop(*[d for i, d in enumerate(dims) if ends[2 * i] == ends[2 * i + 1]])
+
+
+def sort_cells(df: DataFrame, *dims: str) -> DataFrame:
+    """Rows in ascending order of the dimensions (lat and lon, if none are named): range-partitioned and sorted."""
+    dims = dims or tuple(c for c in ("lat", "lon") if c in df.columns)
+    require_columns(df, *dims)
+    return df.orderBy(*dims)
 
 
 def split_by_dims(df: DataFrame, dim: str, n: int) -> DataFrame:
     """Adds split (0 to n-1): n contiguous parts of a dimension, sizes one apart at most."""
-    require_columns(df, dim)
-    axis = df.select(dim).where(F.col(dim).isNotNull()).distinct()
-    size = axis.count()
+    found = places(df, dim)
+    size = found.count()
     if not 1 <= n <= size:
         raise ValueError(f"n must be from 1 to {size}, the size of {dim}, not {n}")
-    place = F.dense_rank().over(Window.orderBy(dim)) - 1  # over the distinct values only
-    parts = axis.select(F.col(dim), F.floor(((place + 1) * n - 1) / F.lit(size)).cast("int").alias("split"))
+    parts = found.select(F.col(dim), F.floor(((F.col("place") + 1) * n - 1) / F.lit(size)).cast("int").alias("split"))
     return df.join(parts, dim, "inner")
 
 
@@ -62,9 +93,7 @@ def significant_points(df: DataFrame, level: float = 0.05, p: str = "p_value") -
 
 def robust_limits(df: DataFrame, name: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """vmin, vmax: exact percentiles of a variable."""
-    require_columns(df, name)
-    limits = df.agg(F.percentile(value(name), F.array(F.lit(low), F.lit(high))).alias("q"))
-    return limits.select(F.col("q")[0].alias("vmin"), F.col("q")[1].alias("vmax"))
+    return percentiles(df, name, [low, high]).select(F.col("q0").alias("vmin"), F.col("q1").alias("vmax"))
 
 
 def map_slice(df: DataFrame, name: str, bbox: BBox | None = None, robust: bool = False, lon: str | None = None, lat: str | None = None) -> DataFrame:
@@ -86,6 +115,4 @@ def map_slice(df: DataFrame, name: str, bbox: BBox | None = None, robust: bool =
 
 def animation_slices(df: DataFrame, dim: str) -> DataFrame:
     """Adds frame: the place of each row's dim value."""
-    require_columns(df, dim)
-    places = df.select(dim).distinct().withColumn("frame", F.dense_rank().over(Window.orderBy(dim)) - 1)
-    return df.join(places, dim)
+    return df.join(places(df, dim).withColumnRenamed("place", "frame"), dim)

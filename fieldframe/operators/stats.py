@@ -32,7 +32,7 @@ def _trend_udf(kernel: str, scale: float, alpha: float, lag: int | None):
         rows = []
         for x in series:
             x = np.asarray(x if x is not None else [], float)
-            rows.append(kernels.hamed_rao(x, scale) if kernel == "hamed_rao" else kernels.native_mk(x, scale, alpha, lag))
+            rows.append(kernels.hamed_rao(x, scale, alpha, lag) if kernel == "hamed_rao" else kernels.native_mk(x, scale, alpha, lag))
         out = pd.DataFrame(rows, columns=list(kernels.TREND_FIELDS), dtype=object)
         types = {c: "float64" for c in out.columns if c != "trend"} | {"trend": "Int32"}
         return out.astype(types)
@@ -47,7 +47,8 @@ def calc_trends(df: DataFrame, along: str | None = None, *, data_var: str | list
     surviving step. Several variables give columns `{variable}_{statistic}`.
     Fewer than two values give NULL. Without keys the whole frame is one
     series. kernel: hamed_rao (ties and autocorrelated ranks corrected) or
-    native (effective sample size).
+    native (effective sample size). alpha is the level of the trend, lag the
+    last autocorrelation that is looked at (all, if not given).
     """
     require_frame(df)
     if along is None:
@@ -123,15 +124,12 @@ def calc_corr(x: DataFrame, y: DataFrame, *, x_var: str | None = None, y_var: st
 
 def _kendall(both: DataFrame, keys: list[str], alternative: str) -> DataFrame:
     @F.pandas_udf("corr double, p_value double")
-    def run(pairs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for group in pairs:
-            x = np.array([p["__x"] for p in group], float)
-            y = np.array([p["__y"] for p in group], float)
-            rows.append(kernels.kendall(x, y, alternative))
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = [kernels.kendall(np.asarray(x, float), np.asarray(y, float), alternative) for x, y in zip(xs, ys)]
         return pd.DataFrame(rows, columns=["corr", "p_value"]).astype("float64")
 
-    found = both.groupBy(*keys).agg(F.collect_list(F.struct("__x", "__y")).alias("g")).select(*keys, run("g").alias("r"))
+    pairs = both.groupBy(*keys).agg(F.collect_list(F.struct("__x", "__y")).alias("g"))
+    found = pairs.select(*keys, run(F.col("g.__x"), F.col("g.__y")).alias("r"))
     return found.select(*keys, *[F.when(~F.isnan(f"r.{c}"), F.col(f"r.{c}")).alias(c) for c in ("corr", "p_value")])
 
 
@@ -179,5 +177,12 @@ def polyfit_trend(df: DataFrame, data_var: str, along: str, *, groupby: Keys = N
 
 
 def merge_variables(frames: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Variables of several frames side by side, all cells kept."""
+    """Variables of several frames side by side, all cells kept; a variable in two of them is an error."""
+    seen: set[str] = set()
+    for f in frames:
+        require_columns(f, *keys)
+        twice = seen & (set(f.columns) - set(keys))
+        if twice:
+            raise ValueError(f"several frames have {sorted(twice)}")
+        seen |= set(f.columns) - set(keys)
     return reduce(lambda a, b: a.join(b, keys, "full_outer"), frames)

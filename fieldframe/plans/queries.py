@@ -103,9 +103,9 @@ base AS (
   SELECT user_id, count(*)::DOUBLE AS n, avg(v) AS mean_val, stddev_samp(v) AS std_val FROM x GROUP BY user_id)"""
 
 
-def _mk_tail(source: str, alpha_on_p: bool) -> str:
+def _mk_tail(source: str, significant: str) -> str:
     p = normal_p_sql("z")
-    trend = f"CASE WHEN p < 0.05 THEN sign(z)::INTEGER ELSE 0 END" if alpha_on_p else f"CASE WHEN abs(z) > {kernels.Z975} THEN sign(z)::INTEGER ELSE 0 END"
+    trend = f"CASE WHEN {significant} THEN sign(z)::INTEGER ELSE 0 END"
     return f""", zed AS (
   SELECT *, CASE WHEN s = 0 THEN 0.0 WHEN var > 0 THEN (s - sign(s)) / sqrt(var) END AS z FROM {source}),
 final AS (SELECT *, {p} AS p FROM zed)
@@ -113,7 +113,8 @@ SELECT user_id, {_r('slope', 'slope')}, {_r('p', 'p_value')}, coalesce({trend},
        {_r('s / (n * (n - 1) / 2)', 'tau')}, {_r('z', 'z_score')} FROM final"""
 
 
-HAMED_RAO_SQL = f"""WITH {_PAIRS}, ties AS (
+def hamed_rao_sql(edge: float = kernels.Z975, lag: int = 1_000_000) -> str:
+    return f"""WITH {_PAIRS}, ties AS (
   SELECT user_id, sum(c * (c - 1) * (2 * c + 5)) AS t FROM (SELECT user_id, v, count(*) AS c FROM x GROUP BY ALL) GROUP BY user_id),
 d AS (SELECT x.user_id, i, v - slope * i AS d FROM x JOIN pairs USING (user_id)),
 ranks AS (
@@ -123,21 +124,23 @@ whole AS (SELECT user_id, sum(e * e) AS total FROM dev GROUP BY user_id),
 acf AS (
   SELECT a.user_id, b.i - a.i AS k, sum(a.e * b.e) / any_value(total) AS rho FROM dev a JOIN dev b ON a.user_id = b.user_id AND a.i < b.i JOIN whole w ON w.user_id = a.user_id GROUP BY ALL),
 extra AS (
-  SELECT user_id, sum(CASE WHEN abs(rho) > {kernels.Z975} / sqrt(n) THEN (n - k) * (n - k - 1) * (n - k - 2) * rho ELSE 0 END) AS extra FROM acf JOIN base USING (user_id) GROUP BY user_id),
+  SELECT user_id, sum(CASE WHEN abs(rho) > {edge} / sqrt(n) AND k <= {lag} THEN (n - k) * (n - k - 1) * (n - k - 2) * rho ELSE 0 END) AS extra FROM acf JOIN base USING (user_id) GROUP BY user_id),
 v AS (
   SELECT user_id, s, slope, n, mean_val, std_val, (n * (n - 1) * (2 * n + 5) - t) / 18 * (1 + 2 / (n * (n - 1) * (n - 2)) * extra) AS var
-  FROM pairs JOIN base USING (user_id) JOIN ties USING (user_id) JOIN extra USING (user_id)){_mk_tail('v', False)}"""
+  FROM pairs JOIN base USING (user_id) JOIN ties USING (user_id) JOIN extra USING (user_id)){_mk_tail('v', f'abs(z) > {edge}')}"""
 
-NATIVE_SQL = f"""WITH {_PAIRS}, dev AS (SELECT user_id, i, v - avg(v) OVER (PARTITION BY user_id) AS e FROM x),
+
+def native_sql(alpha: float = 0.05, lag: int = 1_000_000) -> str:
+    return f"""WITH {_PAIRS}, dev AS (SELECT user_id, i, v - avg(v) OVER (PARTITION BY user_id) AS e FROM x),
 whole AS (SELECT user_id, sum(e * e) AS total FROM dev GROUP BY user_id),
 acf AS (
   SELECT a.user_id, b.i - a.i AS k, sum(a.e * b.e) / any_value(total) AS rho FROM dev a JOIN dev b ON a.user_id = b.user_id AND a.i < b.i JOIN whole w ON w.user_id = a.user_id GROUP BY ALL),
 eff AS (
-  SELECT user_id, greatest(1.0, any_value(n) / (1 + 2 * sum((1 - k / n) * rho))) AS ne FROM acf JOIN base USING (user_id) GROUP BY user_id),
+  SELECT user_id, greatest(1.0, any_value(n) / (1 + 2 * sum(CASE WHEN k <= {lag} + 1 THEN (1 - k / n) * rho ELSE 0 END))) AS ne FROM acf JOIN base USING (user_id) GROUP BY user_id),
 v AS (
   SELECT user_id, s, slope, n, mean_val, std_val,
          CASE WHEN ne > 1 THEN (n * (n - 1) * (2 * n + 5)) / 18 * (n * (n - 1) * (2 * n + 5)) / (ne * (ne - 1) * (2 * ne + 5)) ELSE 'infinity'::DOUBLE END AS var
-  FROM pairs JOIN base USING (user_id) JOIN eff USING (user_id)){_mk_tail('v', True)}"""
+  FROM pairs JOIN base USING (user_id) JOIN eff USING (user_id)){_mk_tail('v', f'p < {alpha}')}"""
 
 
 def mk_hamed_rao(spark, d):
@@ -374,8 +377,8 @@ g AS (SELECT *, CASE WHEN n > 2 THEN slope / sqrt(greatest(0.0, sse) / (n - 2) /
 def oracle_sql() -> dict[str, str]:
     ols_p = t_p_sql("t", "(n - 2)")
     return {
-        "mk_hamed_rao": HAMED_RAO_SQL,
-        "mk_native": NATIVE_SQL,
+        "mk_hamed_rao": hamed_rao_sql(),
+        "mk_native": native_sql(),
         "trends_multi": f"WITH {_PAIRS} SELECT user_id, {_r('slope', 'value_slope')}, {_r('s / (n * (n - 1) / 2)', 'value_tau')}, {_r('slope * 2', 'twice_slope')}, {_r('s / (n * (n - 1) / 2)', 'twice_tau')} FROM base LEFT JOIN pairs USING (user_id)",
         "sen_slope": f"""WITH {MONTHLY_SQL}, x AS (SELECT lat, lon, v, row_number() OVER (PARTITION BY lat, lon ORDER BY time) AS i, count(*) OVER (PARTITION BY lat, lon)::DOUBLE AS n FROM field)
 SELECT a.lat, a.lon, {_r('12 * median((b.v - a.v) / (b.i - a.i))', 'slope', 4)}, {_r('sum(sign(b.v - a.v)) / (any_value(a.n) * (any_value(a.n) - 1) / 2)', 'tau', 4)}

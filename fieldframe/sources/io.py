@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from pathlib import Path
 
@@ -44,12 +45,39 @@ def merge_time(frames: list[DataFrame], time: str = "time") -> DataFrame:
     return whole.repartitionByRange(time).sortWithinPartitions(time)
 
 
-def merge_time_files(spark: SparkSession, infiles: list[str], outfile: str, time: str = "time") -> str:
-    """Merge files along time into zstd Parquet; returns the path. Inputs are left alone; failures raise."""
-    merge_time([read_field(spark, p) for p in sorted(infiles)], time).write.mode("overwrite").option("compression", "zstd").parquet(outfile)
+def _path(spark: SparkSession, path: str):
+    """A path's file system and the path, as Hadoop has them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(found)
+
+
+def merge_time_files(spark: SparkSession, infiles: list[str], outfile: str, time: str = "time", delete_input: bool = False, overwrite: bool = True) -> str:
+    """Merge files along time into zstd Parquet; returns the path. Failures raise.
+
+    An outfile that is one of the inputs is an error; other files are
+    replaced unless overwrite is off. delete_input removes the inputs once
+    the outfile is there.
+    """
+    system, target = _path(spark, outfile)
+    inputs = [_path(spark, p) for p in sorted(infiles)]
+    if any(str(p) == str(target) for _, p in inputs):
+        raise ValueError("the outfile is one of the inputs")
+    merged = merge_time([read_field(spark, p) for p in sorted(infiles)], time)
+    merged.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "zstd").parquet(outfile)
+    if delete_input and system.exists(target):
+        for fs, p in inputs:
+            fs.delete(p, True)
     return outfile
 
 
+def temp_path(spark: SparkSession, folder: str, label: str = "tmp") -> str:
+    """A new path in a folder that driver and executors share; it is deleted when the driver ends."""
+    system, path = _path(spark, f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    system.deleteOnExit(path)
+    return path.toString()
+
+
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """Sparse weights (row, col, s)."""
     df = spark.read.parquet(path)

@@ -12,7 +12,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldframe.functions import mathx
-from fieldframe.operators import grid, kernels, profile, select, stats, tz
+from fieldframe.operators import grid, kernels, ordering, profile, select, stats, tz
+from fieldframe import field, session
+from fieldframe.plans import more
 from fieldframe.plans import queries as plans
 from fieldframe.schema import GridSpec
 from fieldframe.sources import io
@@ -27,23 +29,26 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+QUERIES = plans.queries() | more.queries()
+ORACLE = plans.oracle_sql() | more.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("events", "orders", "customer"):
+    for t in ("events", "orders", "customer", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    frame = plans.queries()[name](spark, sf)
+    frame = QUERIES[name](spark, sf)
     cols = sorted(frame.columns)
     got = collections.Counter(tuple(plain(r[c]) for c in cols) for r in frame.collect())
-    want = collections.Counter(tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(cols)} FROM ({plans.oracle_sql()[name]})").fetchall())
+    want = collections.Counter(tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall())
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
-def test_query_without_sql_runs(spark, sf, name):
-    assert plans.queries()[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def series(spark, groups):
@@ -200,7 +205,18 @@ def test_io_and_views(spark, tmp_path):
     with pytest.raises(ValueError):
         select.map_slice(df.withColumn("time", F.lit(1)), "v")
     info = profile.spatiotemporal_info(df.withColumn("time", F.make_date(F.lit(2020), F.lit(1), F.col("lat").cast("int") + 1).cast("timestamp_ntz")))
-    assert info["time_freq"] == "2D" and info["lat_bounds"] == (0, 8) and info["lon_res"] == 2
+    assert info["resolution"] == {"time": "2D", "lat": 2.0, "lon": 2.0} and info["lat_bounds"] == (0, 8) and info["years_range"] == (2020, 2020) and "time_bounds" not in info
+    info = profile.spatiotemporal_info(df.select(F.make_date(F.lit(2020), F.lit(1), F.col("lat").cast("int") + 1).cast("timestamp").alias("when"), "lon"), ["when", "lon"])
+    assert info["resolution"]["when"] == "2D" and info["when_bounds"][0].day == 1
+    with pytest.raises(ValueError):
+        io.merge_time_files(spark, [str(tmp_path / "a.parquet")], str(tmp_path / "a.parquet"), time="lat")
+    again = io.merge_time_files(spark, [str(tmp_path / "b.parquet"), str(tmp_path / "a.parquet")], str(tmp_path / "e"), time="lat", delete_input=True)
+    assert spark.read.parquet(again).count() == 30 and not (tmp_path / "a.parquet").exists()
+    (tmp_path / "x.nc").write_bytes(b"CDF\x01 and so on")
+    assert io.file_type(str(tmp_path / "x.nc")) == "netcdf" and io.file_type("y.csv") == "csv"
+    spark.createDataFrame([(1, 2, 0.5)], "row int, col int, s double").withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "w"))
+    assert io.read_weights(spark, str(tmp_path / "w")).collect() == [(1, 2, 0.5)]
+    assert io.temp_path(spark, f"file://{tmp_path}") != io.temp_path(spark, f"file://{tmp_path}")
 
 
 def test_streaming(spark, sf, tmp_path):
@@ -217,3 +233,112 @@ def test_entry(spark):
 
     assert own.entry(spark).count() == 5
     assert set(own.oracle_sql()) <= set(own.queries())
+
+
+def test_long_series_kernels_agree_with_pairs():
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 5, 17, 64, 200):
+        for x in (rng.integers(0, 5, n).astype(float), rng.normal(size=n)):
+            pairs = list(itertools.combinations(range(n), 2))
+            assert kernels.inversions(x) == sum(x[i] > x[j] for i, j in pairs)
+            assert kernels.sign_sum(x) == sum(np.sign(x[j] - x[i]) for i, j in pairs)
+            assert kernels.median_slope(x, 0) == pytest.approx(np.median([(x[j] - x[i]) / (j - i) for i, j in pairs]), abs=1e-9)
+    x = rng.normal(size=4_000).cumsum()
+    d = x - x.mean()
+    rho = kernels.autocorrelation(x, 3_999)
+    assert all(rho[k - 1] == pytest.approx(d[:-k] @ d[k:] / (d @ d)) for k in (1, 7, 3_000)) and len(rho) == 3_999
+    z = kernels.hamed_rao(x[:50], alpha=0.05)[6]
+    assert kernels.hamed_rao(np.array([3.0, 1, 4, 1, 5, 9, 2, 6]), alpha=0.5)[2] == 1 and kernels.hamed_rao(np.array([3.0, 1, 4, 1, 5, 9, 2, 6]))[2] == 0 and z
+
+
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_places_of_large_axes(spark, monkeypatch, small):
+    monkeypatch.setattr(ordering, "SMALL", small)
+    monkeypatch.setattr(ordering, "BUCKETS", 7)
+    rows = spark.range(3_000).selectExpr("(id * 7919) % 1009 as k", "cast((id * 7919) % 1009 as string) as s", "timestamp_seconds((id * 7919) % 1009 * 60) as t", "cast((id * 31) % 977 as double) / 3 as v")
+    for c, keys in (("k", range(1009)), ("s", sorted(map(str, range(1009)))), ("t", range(1009))):
+        got = sorted((r[1], r[0]) for r in ordering.places(rows, c).collect())
+        assert [p for p, _ in got] == list(range(1009))
+        assert c == "t" or [v for _, v in got] == list(keys)
+    values = np.array([r.v for r in rows.select("v").collect()])
+    q = ordering.percentiles(rows, "v", [0.0, 0.02, 0.5, 0.981, 1.0]).first()
+    assert list(q) == pytest.approx(np.quantile(values, [0.0, 0.02, 0.5, 0.981, 1.0]))
+    assert list(ordering.percentiles(rows.where("v < 0"), "v", [0.5]).first()) == [None]
+    assert profile.time_frequency(rows, "t").first().freq == "1T"
+    assert select.split_by_dims(rows, "k", 3).groupBy("split").agg(F.count_distinct("k").alias("n")).where("n between 336 and 337").count() == 3
+    assert {r.k for r in select.take_index(rows, "k", -2, 1009).collect()} == {1007, 1008}
+
+
+def test_squeeze_and_merge(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, None), (1, 3.0, 3.0, None)], "a int, b double, c double, e int")
+    assert select.squeeze(df, "a", "b", "c", "e").columns == ["b"] and select.squeeze(df).columns == df.columns
+    with pytest.raises(ValueError):
+        stats.merge_variables([df, df], ["a"])
+
+
+def test_weight_options(spark):
+    for bad in ({"methd": "bilinear"}, {"source": "x.nc"}, {"method": "patch"}, {"norm_type": "none"}):
+        with pytest.raises(ValueError):
+            grid.weight_options(**bad)
+    assert grid.weight_options(m="conserve", i=True)["method"] == "conserve"
+    axis, spec = [0.0, 10.0, 20.0], GridSpec(4, 4, -5.0, 10.0, -5.0, 10.0)
+    with pytest.raises(ValueError):
+        grid.generate_weights(spark, axis, axis, spec)
+    for options in ({"extrap_method": "neareststod"}, {"extrap_method": "nearestidavg"}, {"method": "distance"}, {"method": "neareststod"}):
+        w, dst = grid.generate_weights(spark, axis, axis, spec, **options)
+        sums = {r.row: r.s for r in w.groupBy("row").agg(F.sum("s").alias("s")).collect()}
+        assert set(sums) == set(range(16)) and all(v == pytest.approx(1) for v in sums.values()) and dst.count() == 16
+
+
+def test_cubic_weights_of_long_axes():
+    src = [float(i) for i in range(120)]
+    values = np.sin(np.array(src) / 7)
+    second = (grid._spline(np.array(src)) * values).sum(axis=1)
+    inner = (second[:-2] + 4 * second[1:-1] + second[2:]) / 6
+    assert inner == pytest.approx(np.diff(values, 2)) and np.diff(second)[[0, -1]] == pytest.approx(np.diff(second)[[1, -2]])
+    got = {}
+    for t, s, w in grid.cubic_weights(src, [0.25, 60.5, 118.9]):
+        got[t] = got.get(t, 0.0) + w * values[int(s)]
+    for t, v in got.items():
+        k = int(t)
+        u, q = k + 1 - t, t - k
+        assert v == pytest.approx(u * values[k] + q * values[k + 1] + ((u**3 - u) * second[k] + (q**3 - q) * second[k + 1]) / 6, abs=1e-12)
+
+
+def test_nearest_cells_by_brute_force():
+    lats, lons = np.arange(-85, 90, 10.0), np.arange(0, 360, 15.0)
+    for y, x in ((3, 7), (89, 100), (-89.9, 0), (12, 359), (0, 0), (5, 7.5)):
+        a, b = np.meshgrid(lats, lons, indexing="ij")
+        half = np.sin(np.radians(a - y) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(y)) * np.sin(np.radians(b - x) / 2) ** 2
+        want = sorted((round(float(2 * np.arcsin(np.minimum(1, np.sqrt(half[i, j])))), 12), i, j) for i in range(len(lats)) for j in range(len(lons)))[:4]
+        assert grid._nearest_cells(lats, lons, y, x, 4) == want
+
+
+def test_named_masks(spark, tmp_path):
+    with pytest.raises(ValueError):
+        grid.read_mask(spark, "moon", str(tmp_path))
+    spark.createDataFrame([(0.0, 0.0, True)], "lat double, lon double, land boolean").write.parquet(str(tmp_path / "era5_0.25_mask.parquet"))
+    assert grid.read_mask(spark, "era5", str(tmp_path)).count() == 1
+
+
+def test_field_and_helpers(spark, tmp_path, capsys):
+    own = field.Field(affine(spark))
+    assert own.crop((0, 0, 4, 4)).squeeze("lat").df.count() == 9 and own.info(["lat"])["lat_bounds"] == (0, 8)
+    with pytest.raises(AttributeError):
+        own.nothing
+    with pytest.raises(TypeError):
+        own.crop((0, 0, 1, 1), colour="red")
+    assert session.timeit(lambda: 3)() == 3
+    session.log("a", 1, level="INFO")
+    session.line_break("-", 5)
+    said = capsys.readouterr().out
+    assert "finished in" in said and "[INFO] a 1" in said and "-----" in said
+    try:
+        1 / 0
+    except ZeroDivisionError:
+        session.log("oh", level="ERROR", out=tmp_path / "log.txt")
+    assert "ZeroDivisionError" in (tmp_path / "log.txt").read_text()
+    with pytest.raises(ValueError):
+        session.log("x", level="LOUD")
+    assert session.signature(lambda a, b=2: a) == {"a": None, "b": 2}
+    assert session.get_spark().conf.get("spark.sql.session.timeZone") == "UTC"
