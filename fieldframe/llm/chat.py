@@ -9,7 +9,7 @@ text is never gathered into one row, so a conversation may be of any length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Roles that are no participants: shown in every perspective, never trained on.
@@ -20,6 +20,11 @@ BLOCK_TURNS = 256
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _escaped(text: Column) -> Column:
+    """Markers in a text with a backslash more than they have, so that none forges a turn; undone by taking one away."""
+    return F.regexp_replace(text, r"<(\\*)\|im_(start|end)\|>", r"<$1\\|im_$2|>")
+
+
 def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """conv_id, perspective, turn, role, name, segment, content_start, content_chars, masked, start.
 
@@ -27,6 +32,9 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     `<|im_start|>system\\n…`, each ended by `<|im_end|>\\n`. start is the place
     of the segment in the rendered text in code points, content_start that of
     the content; masked: not trained on (all but the perspective's own turns).
+    Markers in texts and names are escaped by a backslash (`<\\|im_end|>`; one
+    more where there are some), line feeds and carriage returns in shown names
+    are blanks, so no text forges a turn; name is the role as it is.
     Null roles count as the participant `unknown`, null texts as empty, null
     turns come first; a null conv_id is a conversation of its own. Turns with
     equal numbers are ordered by role and text; equal rows are segments each.
@@ -35,14 +43,14 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     """
     speaker = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     turns = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), speaker.alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content")
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), speaker.alias("speaker"), _escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("content")
     )
     is_system = F.col("speaker").isin(*SYSTEM_ROLES)
     people = turns.where(~is_system).groupBy("conv_id", "speaker").agg(F.lit(1).alias("one")).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"))
     both = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c")), "inner").drop("c")
     role = F.when(is_system, F.lit("system")).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(role == "user", F.col("speaker"))
-    head = F.concat(F.lit(START), role, F.when(role == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(START), role, F.when(role == "user", F.concat(F.lit(" name="), F.regexp_replace(_escaped(F.col("speaker")), "[\n\r]", " "))).otherwise(F.lit("")), F.lit("\n"))
     shown = both.select(
         "conv_id", "perspective", "turn", role.alias("role"), name.alias("name"), F.concat(head, F.col("content"), F.lit(END)).alias("segment"), F.length(head).cast("bigint").alias("head_chars"), F.length("content").cast("bigint").alias("content_chars"), "speaker", "content"
     ).withColumn("chars", F.length("segment").cast("bigint"))
@@ -64,9 +72,9 @@ def rotate(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
     )
 
 
-ROTATE_SQL = """
+ROTATE_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g') AS content FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'
 ), b AS (
@@ -74,7 +82,7 @@ WITH t AS (
          CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c
 ), s AS (
-  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM b
+  SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate(regexp_replace(speaker, '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g'), chr(10) || chr(13), '  ') ELSE '' END || chr(10) AS head FROM b
 ), r AS (
   SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM s
 ), o AS (
