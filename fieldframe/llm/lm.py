@@ -6,8 +6,9 @@ mixture weights depend on how often the context occurs (buckets by powers of
 two). They are learned by expectation-maximisation on held-out counts: every
 chunk of the training documents is set against the counts of all others.
 
-Counting sends no row per word. Documents are dealt into chunks of bounded
-size by a hash of their id; a chunk asks for the total counts of its
+Counting sends no row per word. Documents are numbered, written once and dealt
+by number into chunks of bounded size, so rows that are equal in all columns
+are spread too; a chunk asks for the total counts of its
 different words and pairs, as sorted hashes cut into ranges, and each range is
 summed over all chunks by one task and answered in the order asked. Frequent
 words cost no more than rare ones: a chunk asks for each once.
@@ -27,6 +28,9 @@ from .common import as_bytes, crc_mod, sole, stash
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
 MIN_CHUNKS = 16
+#: Chunks that a task works through, one after the other, and ranges.
+CHUNKS_A_TASK = 4
+RANGES_A_TASK = 2
 BUCKETS = 40
 STEPS = 60
 #: Weights of pair, word and uniform where no held-out word tells them.
@@ -250,12 +254,16 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: in
     chunks, ranges = max(MIN_CHUNKS, -(-size // chunk_bytes)), max(4, -(-size // range_bytes))
     own = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), as_bytes("text").alias("text"), learn.alias("learn"), F.coalesce(fold == remainder, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(chunks)).cast("int").alias("chunk"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    asked = own.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(_ask(ranges), "chunk int, part int, n bigint, blob binary")
-    answers = stash(asked.groupBy("part").applyInArrow(_answer, "chunk int, part int, n bigint, blob binary, tokens bigint, words bigint"), "counts")
+    own = stash(own, "numbered").withColumn("chunk", F.pmod(F.xxhash64("at"), F.lit(chunks)).cast("int")).drop("at")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, m = max(least, -(-chunks // CHUNKS_A_TASK)), max(least, -(-ranges // RANGES_A_TASK))  # tasks grow with the input
+    asked = own.select("chunk", "text", "learn").repartition(n, "chunk").groupBy("chunk").applyInArrow(_ask(ranges), "chunk int, part int, n bigint, blob binary")
+    answers = stash(asked.repartition(m, "part").groupBy("part").applyInArrow(_answer, "chunk int, part int, n bigint, blob binary, tokens bigint, words bigint"), "counts")
     tokens, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    answers = answers.where("chunk >= 0").select("chunk", "part", "n", "blob")
+    answers = answers.where("chunk >= 0").select("chunk", "part", "n", "blob").repartition(n, "chunk")
+    own = own.repartition(n, "chunk")
     cells = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_held_out(tokens), "bucket bigint, pair bigint, word bigint, held bigint")
     cells = cells.groupBy("bucket", "pair", "word").agg(F.sum("held").alias("held")).collect()
     weights = learn_weights(sorted(tuple(r) for r in cells), vocabulary)
