@@ -19,12 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, bound_batches, crc_mod, records, sole
 
-#: The model is fitted on at most so many labelled rows (chosen by a hash of
-#: the id, in equal parts a language); it keeps the most frequent words and
-#: n-grams up to these numbers, so its size is bounded.
+#: The model is fitted on about so many labelled rows (chosen by a hash of
+#: the id, in equal parts a language). It knows all their words and n-grams.
 SAMPLE_ROWS = 4_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
 GRAMS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 400_000
@@ -44,45 +41,49 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language: tables of places, and rows of frequencies."""
 
-    def __init__(self, samples: list[tuple[str, str]], max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS):
+    def __init__(self, samples: list[tuple[str, str]]):
         self.langs = sorted({lang for lang, _ in samples})
         place = {lang: i for i, lang in enumerate(self.langs)}
         words = [Counter() for _ in self.langs]
         for lang, text in samples:
             words[place[lang]].update(words_of(text))
-        grams = {n: [Counter() for _ in self.langs] for n in GRAMS}
-        for i, counts in enumerate(words):
-            for word, k in counts.items():
-                for n in GRAMS:
+        self.words, self.word_rows = self._table(words)
+        self.grams: dict[int, dict[str, int]] = {}
+        self.gram_rows: dict[int, np.ndarray] = {}
+        for n in GRAMS:
+            grams = [Counter() for _ in self.langs]
+            for counts, own in zip(words, grams):
+                for word, k in counts.items():
                     for g in grams_of(word, n):
-                        grams[n][i][g] += k
-        self.words = self._table(words, max_words, 2)
-        self.grams = {n: self._table(grams[n], max_grams, 2) for n in GRAMS}
+                        own[g] += k
+            self.grams[n], self.gram_rows[n] = self._table(grams)
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, max(1, len(self.langs))))
 
     @staticmethod
-    def _table(counts: list[Counter], most: int, least: int) -> dict[str, np.ndarray]:
-        total = Counter()
+    def _table(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+        known: dict[str, int] = {}
         for c in counts:
-            total.update(c)
-        kept = [w for w, k in total.items() if k >= least]
-        if len(kept) > most:
-            kept = sorted(kept, key=lambda w: (-total[w], w))[:most]
-        sums = np.array([sum(c.values()) + 1.0 for c in counts])
-        n = len(kept) + 1
-        return {w: np.log((np.array([c[w] for c in counts]) + 0.1) / (sums + 0.1 * n)).astype(np.float32) for w in kept}
+            for w in c:
+                known.setdefault(w, len(known))
+        table = np.zeros((len(known), max(1, len(counts))), np.float32)
+        for i, c in enumerate(counts):
+            table[np.fromiter(map(known.__getitem__, c), np.int64, len(c)), i] = np.fromiter(c.values(), np.float32, len(c))
+        sums = np.array([sum(c.values()) + 1.0 for c in counts] or [1.0])
+        return known, np.log((table + 0.1) / (sums + 0.1 * (len(known) + 1))).astype(np.float32)
 
     def word_scores(self, word: str) -> np.ndarray:
         """Scores of a word by language, less their mean."""
-        found = self.words.get(word)
-        if found is None:
+        at = self.words.get(word)
+        if at is not None:
+            found = self.word_rows[at]
+        else:
             for n in GRAMS:
-                parts = [p for p in map(self.grams[n].get, grams_of(word, n)) if p is not None]
-                if parts:
-                    found = np.mean(parts, axis=0)
+                places = [p for p in map(self.grams[n].get, grams_of(word, n)) if p is not None]
+                if places:
+                    found = self.gram_rows[n][places].mean(axis=0)
                     break
             else:
                 return np.zeros(len(self.langs))
