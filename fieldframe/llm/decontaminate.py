@@ -5,9 +5,11 @@ beyond ASCII. A window is eight consecutive words of a benchmark item; an
 item of one to seven words is a single window. Document windows are looked up
 by a rolling hash of word numbers and verified word by word.
 
-The set is broadcast in parts of at most `max_windows` windows. Parts after
-the first run as further passes in the same task, without a shuffle, and add
-to the hits of those before: a benchmark of any size is searched whole.
+The set is broadcast in parts of at most about `max_windows` windows, dealt by
+a hash of the window. Each part is a pass of its own over the documents,
+without a shuffle, that adds to the hits of those before; its result is
+written and its broadcast let go before the next: a benchmark of any size, or
+with items of any size, is searched whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, bound_batches, records, sole
+from .common import as_bytes, blocks, bound_batches, records, sole, stash
 
 WINDOW = 8
 #: Windows in one broadcast (about 100 bytes each in a worker).
@@ -125,16 +127,36 @@ def _search(docs: DataFrame, benchmark: DataFrame, max_windows: int, window: int
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     bound_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes("text").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # a word has a byte and a gap at least
-    parts = max(1, -(-(size // 2) // max_windows))
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = 1
+    if size // 2 > max_windows:  # a word has a byte and a gap at least
+        items = stash(items.mapInArrow(_windows(window), "item string, text binary").distinct(), "windows")
+        parts = max(1, -(-items.count() // max_windows))
     found = docs
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
         share = spark.sparkContext.broadcast(WindowSet([(r[0], bytes(r[1])) for r in own.collect()], window))
         found = found.mapInArrow(_scan(share, part == 0), f"doc_id {kind}, text binary, hits array<int>, items array<string>")
+        if part < parts - 1:
+            found = stash(found, "pass")
+            share.unpersist()
     return found
 
 
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window of each item, its words joined by blanks."""
+        for batch in batches:
+            for item, raw in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(raw)
+                n = min(window, len(words))
+                for first in range(0, len(words) - n + 1 if n else 0, 10_000):
+                    own = [b" ".join(words[at : at + n]) for at in range(first, min(first + 10_000, len(words) - n + 1))]
+                    yield records([pa.array([item] * len(own)), pa.array(own, pa.binary())], ["item", "text"])
+
+    return run
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
