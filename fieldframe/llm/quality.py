@@ -27,8 +27,6 @@ _SYMBOLS = b"#*$%&|<>"
 #: White space and the later bytes of UTF-8 characters: without them, bytes count code points of words.
 _NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 
-_rng = np.random.default_rng(11)
-_CODES = _rng.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

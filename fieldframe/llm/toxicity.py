@@ -26,10 +26,12 @@ BUCKETS = 1 << 20
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 WINDOW = 6
-#: The model is fitted on about so many labelled rows of each class, chosen
-#: by a hash of the id; all words of these rows are learned from.
+#: The model is fitted on about so many labelled rows of each class, and about
+#: so many bytes of text at most, chosen by a hash of the id; all words of
+#: these rows are learned from.
 SAMPLE_TOXIC = 1_500
 SAMPLE_CLEAN = 3_000
+SAMPLE_BYTES = 16 << 20
 #: Windows, and n-grams of words, that a step of training holds at once.
 WINDOWS_AT_ONCE = 250_000
 GRAMS_AT_ONCE = 1_000_000
@@ -252,21 +254,25 @@ def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, shift: float) ->
 
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on rows of docs (doc_id, text) that labels (doc_id, toxic) covers.
 
-    The samples are bounded by class; a hash of the id chooses them. Labels
-    that are null, and labels of no document, are passed over.
+    Of each class a share of the ids is chosen by a hash, such that about so
+    many rows, and half of so many bytes, are expected; what is chosen does
+    not depend on the order of rows. Labels that are null, and labels of no
+    document, are passed over; rows that are equal in id, text and label
+    count once.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("label")).where("__id is not null and label is not null")
-    known = known.join(docs.select(F.col("doc_id").alias("__id")).where("__id is not null"), "__id", "left_semi")  # ids only: no text is shuffled
-    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    known = labels.select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("label")).where("__id is not null and label is not null").distinct()
+    sizes = docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("size"))
+    known = known.join(sizes, "__id")  # ids and lengths only: no text is shuffled
+    found = {r[0]: (r[1], r[2]) for r in known.groupBy("label").agg(F.sum("n"), F.sum("size")).collect()}
+    clean, toxic = (min(1.0, most / found[k][0], sample_bytes / 2 / max(1, found[k][1])) if k in found else 0.0 for k, most in ((0, sample_clean), (1, sample_toxic)))
     place = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_000)) / 1e6
-    clean, toxic = (min(1.0, most / max(1, sizes.get(k, 0))) for k, most in ((0, sample_clean), (1, sample_toxic)))
-    chosen = known.where(place < F.when(F.col("label") == 1, F.lit(toxic)).otherwise(F.lit(clean))).limit(2 * (sample_clean + sample_toxic))
+    chosen = known.where(place < F.when(F.col("label") == 1, F.lit(toxic)).otherwise(F.lit(clean))).select("__id", "label")
     rows = docs.select("doc_id", as_bytes("text").alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # a bounded number of ids
-    rows = rows.select("text", "label", "doc_id").limit(2 * (sample_clean + sample_toxic)).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[2]).encode()), bytes(r[0])))  # the same model whatever order the rows came in
+    rows = rows.select("text", "label", "doc_id").distinct().collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r[2]).encode()), bytes(r[0]), r[1]))  # the same model whatever order the rows came in
     rows.reverse()
     return train((bytes(r[0]), r[1]) for r in iter(lambda: rows.pop() if rows else None, None))  # a text goes when its words are counted
 
