@@ -201,10 +201,11 @@ def _place(ranked: DataFrame, max_tokens: int) -> DataFrame:
             slots = slots.select("seq", "slot", F.when(F.col("slot") < F.col("k") - 1, F.lit(high).cast("bigint")).otherwise(F.col("free") - high * (F.col("k") - 1)).alias("size"))
             both = slots.select("size", F.lit(-_GAP).alias("kind"), F.col("seq").alias("a"), F.col("slot").alias("b")).union(left.select("length", F.lit(_PIECE), "rank", F.lit(0)))
             order = [F.col("size").desc(), F.col("kind").asc(), F.col("a").asc(), F.col("b").asc()]
-            n = min(tasks, -(-(count + usable) // ROWS_A_TASK))
-            sorted_rows = both.repartitionByRange(max(1, n), *order).sortWithinPartitions(*order).withColumn("kind", F.abs("kind"))
-            swept = stash(sorted_rows.mapInArrow(_sweep, _SWEPT), "swept")
-            kinds = swept.groupBy("part").agg(*[F.sum((F.col("kind") == x).cast("bigint")) for x in (_PIECE, _GAP, _MATCHED)]).collect()
+            n = max(1, min(tasks, -(-(count + usable) // ROWS_A_TASK)))
+            together = (lambda df: df.coalesce(1)) if n == 1 else (lambda df: df)  # a range that one task sweeps needs no shuffle
+            dealt = together(both) if n == 1 else both.repartitionByRange(n, *order)
+            swept = stash(dealt.sortWithinPartitions(*order).withColumn("kind", F.abs("kind")).mapInArrow(_sweep, _SWEPT), "swept")
+            kinds = together(swept).groupBy("part").agg(*[F.sum((F.col("kind") == x).cast("bigint")) for x in (_PIECE, _GAP, _MATCHED)]).collect()
             pieces, open_gaps, met = meet(sorted((r[0], r[1], r[2]) for r in kinds))
             rest = swept.where(F.col("kind") != _MATCHED).mapInArrow(_carry(pieces, open_gaps), "met bigint, kind int, rank bigint, length bigint, seq bigint, slot int")
             taken = swept.where(F.col("kind") == _MATCHED).select("seq", "slot", "rank", "length")
@@ -213,7 +214,7 @@ def _place(ranked: DataFrame, max_tokens: int) -> DataFrame:
                 taken = taken.union(pairs.select("seq", "slot", "rank", "length"))
             place = F.struct("slot", "rank", "length")
             rows = gaps.select("seq", "free", F.lit(None).cast("struct<slot:int,rank:bigint,length:bigint>").alias("p")).union(taken.select("seq", F.lit(None).cast("bigint"), place))
-            turn = rows.groupBy("seq").agg(F.max("free").alias("free"), F.coalesce(F.sum("p.length"), F.lit(0)).alias("got"), F.collect_list("p").alias("places"))  # max_tokens places at most
+            turn = together(rows).groupBy("seq").agg(F.max("free").alias("free"), F.coalesce(F.sum("p.length"), F.lit(0)).alias("got"), F.collect_list("p").alias("places"))  # max_tokens places at most
             turn = stash(turn, "turn")
             turns.append(turn)
             placed.append(turn.where("got > 0").select("seq", F.lit(len(placed)).alias("turn"), F.explode("places").alias("p")).select("seq", "turn", "p.slot", "p.rank", "p.length"))
