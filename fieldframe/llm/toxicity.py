@@ -163,7 +163,10 @@ def train(samples: Iterable[tuple[bytes, int]], steps: int = STEPS, dim: int = D
         sums = np.concatenate(([0.0], np.cumsum(word[flat[own]], dtype=float)))
         return (sums[end] - sums[start]) / WINDOW
 
-    E = (rng.random((BUCKETS, dim), np.float32) * 2 - 1) / np.float32(dim)
+    E = rng.random((BUCKETS, dim), np.float32)
+    E *= 2
+    E -= 1
+    E /= np.float32(dim)
     W = rng.normal(0, 0.5, (2, dim))
     bias = np.zeros(2)
     vE, vW, vb = np.zeros_like(E), np.zeros_like(W), np.zeros(2)
@@ -215,7 +218,9 @@ def train(samples: Iterable[tuple[bytes, int]], steps: int = STEPS, dim: int = D
             a += np.bincount(parts[some], np.where(kept[some], np.repeat(at_word[w0:w1], sizes_of[w0:w1]), 0), BUCKETS)
         gu = (E.T @ a.astype(np.float32)).astype(float)
         vE *= momentum
-        vE -= np.clip(rate * a, -CLIP, CLIP).astype(np.float32)[:, None] * u.astype(np.float32)[None, :]
+        for at in range(0, BUCKETS, 1 << 16):
+            some = slice(at, at + (1 << 16))
+            vE[some] -= np.clip(rate * a[some], -CLIP, CLIP).astype(np.float32)[:, None] * u.astype(np.float32)[None, :]
         vW = momentum * vW - 0.02 * rate * (np.stack((-gu, gu)) + 1e-3 * W)
         vb = momentum * vb - 0.05 * rate * np.array([-g.sum(), g.sum()])
         E *= np.float32(1 - DECAY)
