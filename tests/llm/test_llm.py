@@ -803,3 +803,24 @@ def test_pipeline(spark, sf, docs, tokenizer):
     check_packing(cp.STAGES[-1][1](spark, now, sf), list(kept[3].items()), tokenizer)
     whole = collections.Counter((r.doc_id, r.piece, r.length) for r in cp.run(spark, sf).collect())
     assert whole == collections.Counter((r.doc_id, r.piece, r.length) for r in packing.pack(now).collect())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = f"file://{tmp_path}"
+    long = " ".join(f"word{i} of a text that is kept" for i in range(40))
+    rows = edge_rows() + [(50, long, "en", "s", 1, "k", "f", 1, 2, "r", "h"), (50, long.replace("word", "term"), "en", "s", 1, "k", "f", 1, 2, "r", "h"), (None, long.replace("word", "thing"), None, None, None, None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, DOC_FIELDS)
+    frame.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        now = stash(stage(spark, now, sf), name)
+        assert now.columns == frame.columns
+        assert stage(spark, frame.limit(0), sf).count() == 0
+    assert cp.STAGES[-1][1](spark, frame.limit(0), sf).count() == 0
+    texts = collections.Counter(r.text for r in now.collect())
+    assert all(texts[long.replace("word", w)] == 1 for w in ("word", "term", "thing"))  # one id over two texts, and none
+    assert sorted(r.doc_id or 0 for r in cp.run(spark, sf).where("piece = 0").collect()) == sorted(r.doc_id or 0 for r in now.collect())
