@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,29 @@ def tz_apply(func: Callable[[DataFrame], DataFrame], df: DataFrame, time: str =
     return func(split_by_timezones(df, time, lon, parity_dateline), **kwargs)
 
 
+def concat(frames: list[DataFrame], along: str = "lon", dims: list[str] | None = None, join: str = "outer") -> DataFrame:
+    """Rows of frames that are parts along one dimension.
+
+    outer: cells that a part has not are absent. exact: ValueError unless all
+    parts have the same values of the other dimensions (time and lat, if not
+    given).
+    """
+    if not frames:
+        raise ValueError("nothing to put together")
+    if join not in ("outer", "exact"):
+        raise ValueError(f"join must be outer or exact, not {join!r}")
+    dims = [d for d in ("time", "lat") if d in frames[0].columns] if dims is None else dims
+    for f in frames:
+        require_columns(f, along, *dims)
+    if join == "exact" and dims:
+        first = frames[0].select(*dims).distinct()
+        for f in frames[1:]:
+            own = f.select(*dims).distinct()
+            if first.join(own, dims, "left_anti").limit(1).count() or own.join(first, dims, "left_anti").limit(1).count():
+                raise ValueError(f"the parts differ in {dims}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=join == "outer"), frames)
+
+
 def tz_apply_pandas(func: Callable, df: DataFrame, schema: str, time: str = "time", lat: str = "lat", lon: str = "lon", blocks: int = 1, parity_dateline: bool = False) -> DataFrame:
     """Apply a pandas function to the rows of each band (and block of latitudes, if func works by cell).
 

@@ -112,6 +112,12 @@ def day_moments(spark, d):
     return base._rounded(found.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n", "mean_val", "std_val", (F.col("slope") * 86400).alias("slope")), "mean_val", "std_val", "slope")
 
 
+def concat_parts(spark, d):
+    own = base.cells(spark, d)
+    both = tz.concat([own.where("lon < 0"), own.where("lon >= 0")], join="exact")
+    return tz.concat([both, own.where("lat = 0").withColumn("lon", F.col("lon") + 90.0)])
+
+
 def info(spark, d):
     found = profile.spatiotemporal_info(base.monthly(spark, d), ["time", "lat", "lon"])
     row = (found["resolution"]["time"], found["resolution"]["lat"], found["resolution"]["lon"], *map(float, found["lat_bounds"]), *map(float, found["lon_bounds"]), *map(int, found["months_range"]))
@@ -121,7 +127,7 @@ def info(spark, d):
 def queries() -> dict:
     own = (
         mk_alpha_lag, mk_native_lag, take_places, take_last, label_lookup, masked_cells, named_stats, merged_variables, corr_fanout, corr_checked, ols_gaps, tz_centre, solar_no_equator, regrid_with_others,
-        weights_conserve, weights_dstarea, weights_extrapolated, map_robust, frames, squeezed, day_moments, info,
+        weights_conserve, weights_dstarea, weights_extrapolated, map_robust, frames, squeezed, day_moments, concat_parts, info,
     )
     return {f.__name__: f for f in own}
 
@@ -217,6 +223,7 @@ q AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM c)
         "squeezed": f"WITH {base.CELLS_SQL} SELECT lat, lon, v FROM cells",
         "day_moments": f"""WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, value AS v, (epoch_us(ts) - epoch_us(date_trunc('day', ts)::TIMESTAMP)) / 86400e6 AS x FROM events)
 SELECT day, event_type, count(v) AS n, {r('avg(v)', 'mean_val')}, {r('stddev_samp(v)', 'std_val')}, {r('regr_slope(v, x)', 'slope')} FROM e GROUP BY day, event_type""",
+        "concat_parts": f"WITH {base.CELLS_SQL} SELECT lat, lon, v FROM cells UNION ALL SELECT lat, lon + 90, v FROM cells WHERE lat = 0",
         "info": f"""WITH {base.MONTHLY_SQL}, t AS (SELECT DISTINCT time FROM field), s AS (SELECT time, date_diff('second', lag(time) OVER (ORDER BY time), time) AS step FROM t),
 m AS (SELECT step FROM s WHERE step IS NOT NULL GROUP BY step ORDER BY count(*) DESC, step LIMIT 1), k AS (SELECT month(time) AS m, step FROM s JOIN m USING (step))
 SELECT (any_value(step) // 2419200)::VARCHAR || 'M' AS freq, 10.0::DOUBLE AS lat_res, 15.0::DOUBLE AS lon_res, -20.0::DOUBLE AS lat_low, 20.0::DOUBLE AS lat_high, -30.0::DOUBLE AS lon_low, 30.0::DOUBLE AS lon_high, min(m) AS month_min, max(m) AS month_max FROM k""",

@@ -269,6 +269,16 @@ def test_places_of_large_axes(spark, monkeypatch, small):
     assert {r.k for r in select.take_index(rows, "k", -2, 1009).collect()} == {1007, 1008}
 
 
+def test_concat_of_parts(spark):
+    df = affine(spark)
+    assert tz.concat([df.where("lon < 4"), df.where("lon >= 4")], join="exact").count() == 30
+    with pytest.raises(ValueError):
+        tz.concat([df.where("lon < 4"), df.where("lon >= 4 and lat > 0")], join="exact")
+    assert tz.concat([df.where("lon < 4"), df.where("lon >= 4 and lat > 0")]).count() == 26
+    with pytest.raises(ValueError):
+        tz.concat([], join="exact")
+
+
 def test_squeeze_and_merge(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, None), (1, 3.0, 3.0, None)], "a int, b double, c double, e int")
     assert select.squeeze(df, "a", "b", "c", "e").columns == ["b"] and select.squeeze(df).columns == df.columns
