@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, bound_batches, records, stash
+from .common import as_bytes, blocks, bound_batches, records, sole, stash
 from .wordcodes import default_tokenizer, encoder
 
 MAX_TOKENS = 2048
@@ -91,6 +91,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbered in order; so are the gaps that hold any piece of the ranges
     after, from the largest.
     """
+    sole("packing", int)  # the tokenizer's dictionaries are not needed any more
     part = TaskContext.get().partitionId()
     free: list[tuple[int, int, int]] = []  # ascending: size, seq, slot
     n, least = 0, 0
