@@ -89,12 +89,25 @@ def concat(frames: list[DataFrame], along: str = "lon", dims: list[str] | None =
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=join == "outer"), frames)
 
 
-def tz_apply_pandas(func: Callable, df: DataFrame, schema: str, time: str = "time", lat: str = "lat", lon: str = "lon", blocks: int = 1, parity_dateline: bool = False) -> DataFrame:
-    """Apply a pandas function to the rows of each band (and block of latitudes, if func works by cell).
+#: Most rows that a group of tz_apply_pandas may have: it is one pandas frame.
+MAX_GROUP = 20_000_000
 
-    There are 25 bands at most, so blocks > 1 spreads each over more tasks.
+
+def tz_apply_pandas(
+    func: Callable, df: DataFrame, schema: str, time: str = "time", lat: str = "lat", lon: str = "lon", blocks: int = 1, parity_dateline: bool = False, by: list[str] | None = None, max_rows: int = MAX_GROUP
+) -> DataFrame:
+    """Apply a pandas function to the rows of each band, in local time.
+
+    There are 25 bands at most. A function that works by cell takes smaller
+    groups: by names further keys (such as lat and lon), blocks > 1 parts a
+    band by a hash of the latitude. Groups over max_rows are an error, found
+    by a count before; what Spark's own functions can say has no such bound
+    in tz_apply.
     """
-    require_columns(df, time, lat, lon)
+    require_columns(df, time, lat, lon, *(by or []))
     banded = split_by_timezones(df, time, lon, parity_dateline)
-    keys = ["band"] + [F.pmod(F.xxhash64(lat), F.lit(blocks)).alias("block")] * (blocks > 1)
+    keys = ["band", *(by or [])] + [F.pmod(F.xxhash64(lat), F.lit(blocks)).alias("block")] * (blocks > 1)
+    largest = banded.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if largest and largest > max_rows:
+        raise ValueError(f"a group of {largest} rows is over {max_rows}; name further keys (by), or use tz_apply")
     return banded.groupBy(*keys).applyInPandas(func, schema)

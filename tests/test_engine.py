@@ -269,6 +269,14 @@ def test_places_of_large_axes(spark, monkeypatch, small):
     assert {r.k for r in select.take_index(rows, "k", -2, 1009).collect()} == {1007, 1008}
 
 
+def test_pandas_groups_are_bounded(spark):
+    df = affine(spark).withColumn("time", F.make_date(F.lit(2020), F.lit(1), F.lit(1)).cast("timestamp_ntz"))
+    count = lambda rows: rows[["lat"]].iloc[:1].assign(n=len(rows))
+    assert {r.n for r in tz.tz_apply_pandas(count, df, "lat double, n bigint", by=["lat"]).collect()} == {4, 2}  # bands of 0 and 15
+    with pytest.raises(ValueError):
+        tz.tz_apply_pandas(count, df, "lat double, n bigint", max_rows=10)
+
+
 def test_concat_of_parts(spark):
     df = affine(spark)
     assert tz.concat([df.where("lon < 4"), df.where("lon >= 4")], join="exact").count() == 30
