@@ -28,9 +28,6 @@ from .common import as_bytes, crc_mod, sole, stash
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
 MIN_CHUNKS = 16
-#: Chunks that a task works through, one after the other, and ranges.
-CHUNKS_A_TASK = 4
-RANGES_A_TASK = 2
 BUCKETS = 40
 STEPS = 60
 #: Weights of pair, word and uniform where no held-out word tells them.
@@ -187,10 +184,10 @@ def _held_out(tokens: int):
         context, word = words[chunk.pair_context[there]], words[chunk.pair_token[there]]
         pair, held = pairs[there], chunk.pair_counts[there]
         size = lambda a, b: np.where(a > 0, np.rint(4 * np.log2(np.maximum(a, 1) / np.maximum(b, 1))), 1).astype(np.int64)
-        cells = np.stack((bucket_of(context), size(pair, context), size(word, np.full(1, rest))), axis=1)
-        kinds, place = np.unique(cells, axis=0, return_inverse=True)
-        sums = np.bincount(place.ravel(), held, len(kinds)).astype(np.int64)
-        return pa.table({"bucket": pa.array(kinds[:, 0]), "pair": pa.array(kinds[:, 1]), "word": pa.array(kinds[:, 2]), "held": pa.array(sums)})
+        cells = (bucket_of(context) << 20) + (size(pair, context) + 512 << 10) + size(word, np.full(1, rest)) + 512  # sizes are from -252 to 1
+        kinds, place = np.unique(cells, return_inverse=True)
+        sums = np.bincount(place, held, len(kinds)).astype(np.int64)
+        return pa.table({"bucket": pa.array(kinds >> 20), "pair": pa.array((kinds >> 10 & 1023) - 512), "word": pa.array((kinds & 1023) - 512), "held": pa.array(sums)})
 
     return run
 
@@ -258,7 +255,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: in
     )
     own = stash(own, "numbered").withColumn("chunk", F.pmod(F.xxhash64("at"), F.lit(chunks)).cast("int")).drop("at")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n, m = max(least, -(-chunks // CHUNKS_A_TASK)), max(least, -(-ranges // RANGES_A_TASK))  # tasks grow with the input
+    n, m = max(least, chunks), max(least, ranges)  # tasks grow with the input
     asked = own.select("chunk", "text", "learn").repartition(n, "chunk").groupBy("chunk").applyInArrow(_ask(ranges), "chunk int, part int, n bigint, blob binary")
     answers = stash(asked.repartition(m, "part").groupBy("part").applyInArrow(_answer, "chunk int, part int, n bigint, blob binary, tokens bigint, words bigint"), "counts")
     tokens, vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
