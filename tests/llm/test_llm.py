@@ -813,7 +813,7 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
     sf = f"file://{tmp_path}"
-    long = " ".join(f"word{i} of a text that is kept" for i in range(40))
+    long = " ".join(f"word{i} {'abcdefg'[i % 7] * (1 + i % 5)}{i * 37 % 101}" for i in range(40))
     rows = edge_rows() + [(50, long, "en", "s", 1, "k", "f", 1, 2, "r", "h"), (50, long.replace("word", "term"), "en", "s", 1, "k", "f", 1, 2, "r", "h"), (None, long.replace("word", "thing"), None, None, None, None, None, None, None, None, None)]
     frame = spark.createDataFrame(rows, DOC_FIELDS)
     frame.write.parquet(f"{sf}/documents.parquet")
