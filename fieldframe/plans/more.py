@@ -176,7 +176,7 @@ cols AS (SELECT lon, list(v ORDER BY lat) AS v FROM cells GROUP BY lon), bent AS
 ty AS ({base._axis_sql(-20, 2.5, 16, 'ty')}), tx AS ({base._axis_sql(-30, 2.5, 24, 'tx')}),
 half AS (SELECT ty, lon, {at('((ty + 20) / 10)')} AS v FROM bent, ty),
 rows AS (SELECT ty, list(v ORDER BY lon) AS v FROM half GROUP BY ty), bent2 AS (SELECT ty, v, {bends('v')} AS m FROM rows)
-SELECT ty AS lat, tx AS lon, round({at('((tx + 30) / 15)')}, 6) + 0.0 AS v FROM bent2, tx"""
+SELECT ty AS lat, tx AS lon, round({at('((tx + 30) / 15)')} + {base.OFF_TIES}, 6) + 0.0 AS v FROM bent2, tx"""
 
 
 def oracle_sql() -> dict[str, str]:
